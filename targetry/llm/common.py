@@ -235,3 +235,48 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components don't settle")
     nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.union(now.select(F.col("b"), F.col("b")).distinct())
+
+
+# --- lookups ------------------------------------------------------------------
+
+
+class Lookup:
+    """Index of each of many 64-bit keys in a fixed array of distinct keys, -1 if it isn't there. Vectorised chaining."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = keys.astype(U64)
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        slot = self._slot(keys)
+        self.order = np.argsort(slot, kind="stable")
+        self.keys = np.append(keys[self.order], U64(0))
+        self.starts = np.searchsorted(slot[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.order = np.append(self.order, 0).astype(np.int32)
+        self.deepest = int(np.diff(self.starts).max(initial=0))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        pos, end = self.starts[slot], self.starts[slot + 1]
+        hit = (pos < end) & (self.keys[pos] == keys)
+        out = np.where(hit, self.order[pos], -1)
+        todo = np.flatnonzero(~hit & (pos + 1 < end))
+        for k in range(1, self.deepest):
+            if not len(todo):
+                break
+            p = pos[todo] + k
+            hit = self.keys[p] == keys[todo]
+            out[todo[hit]] = self.order[p[hit]]
+            todo = todo[~hit & (p + 1 < end[todo])]
+        return out
+
+
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of their counts (1 each if none are given)."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
