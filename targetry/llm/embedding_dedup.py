@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from targetry.llm.common import U64, components, mix, store
 
-TABLES = 8
+TABLES = 10
 PROBES = 16
 #: Of the projected unit vectors; a finer lattice has smaller cells.
-SCALE = 1.0
+SCALE = 1.4
 COSINE = 0.95
 SEED = 97
 

@@ -162,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     open_rules = F.expr("filter(_rules, r -> _hit[r.k])")
     out = out.withColumn("_rules", F.from_json(F.lit(as_json), rule_type)).withColumn("_open", F.when(F.col("_hit").isNotNull(), open_rules)).drop("_rules", "_hit")
     detections = f"""flatten(transform(_open, r -> aggregate(
-        arrays_zip(regexp_extract_all(_j, r.x, 0) AS m, slice(split(_j, r.x, -1), 1, size(regexp_extract_all(_j, r.x, 0))) AS s),
+        zip_with(regexp_extract_all(_j, r.x, 0), slice(split(_j, r.x, -1), 1, size(regexp_extract_all(_j, r.x, 0))), (m, s) -> named_struct('m', m, 's', s)),
         named_struct('at', 0, 'all', CAST(array() AS array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>)),
         (a, x) -> named_struct('at', a.at + {_spaces('x.s')} + {_spaces('x.m')},
           'all', concat(a.all, array(named_struct('start', bigint(a.at + {_spaces('x.s')}), 'end', bigint(a.at + {_spaces('x.s')} + {_spaces('x.m')}), 'priority', r.p, 'label', r.l, 'confidence', r.c)))),

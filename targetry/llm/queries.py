@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from targetry.llm import decontam, mixing, url_filter
+from targetry.llm import decontam, embedding_dedup, jaccard, language_id, licenses, lm_score, mixing, pii, quality, url_filter
 from targetry.llm.common import table
 
 URL_RULES = [
@@ -30,6 +30,53 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("placements").cast("long").alias("n_copies"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.remainder(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.remainder(F.col("doc_id"), 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return lm_score.score(docs, ~F.col("held_out"), carry=("doc_id", "held_out"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_top", "keep")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("words").alias("n_words"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.col("base.start")).alias("first_word"),
+        F.array_max(F.col("base.start")).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("base.label"))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(F.col("base.label"), F.col("found.label"))), ",").alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("found.confidence")), F.lit(0.0))).alias("score"),
+    )
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))\
+        .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.scan(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -78,5 +125,30 @@ FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.95),
+r AS (SELECT a AS o, a AS n FROM l UNION SELECT r.o, l.b FROM r JOIN l ON r.n = l.a),
+c AS (SELECT o, min(n) AS least FROM r GROUP BY o),
+d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(least, e.vec_id) AS component_id, coalesce(least, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON e.vec_id = o LEFT JOIN d ON e.vec_id = d.a
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS held FROM s x JOIN s y ON x.g = y.g AND x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * held >= 75 * (x.n + y.n - held)),
+r AS (SELECT a AS o, a AS n FROM l UNION SELECT r.o, l.b FROM r JOIN l ON r.n = l.a),
+c AS (SELECT o, min(n) AS least FROM r GROUP BY o)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op7_decontamination": OP7_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}
