@@ -1,9 +1,184 @@
 """Registered queries of the build-graph engine and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from targetry.functions import keys, labels
+from targetry.operators import diff, merkle
+from targetry.plans import fixtures
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _sql(body: str, more: str = "", recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{fixtures.sql_tables()}{', ' + more if more else ''} {body}"
+
+
+#: The diff in SQL: kinds (c), the flags of a change, seeds (s).
+_DIFF = """
+c AS (SELECT coalesce(tb.name, ta.name) AS name, CASE WHEN tb.name IS NULL THEN 'CHANGE_TYPE_NEW' WHEN ta.name IS NULL THEN 'CHANGE_TYPE_DELETED' ELSE 'CHANGE_TYPE_CHANGED' END AS change_type,
+  ta.rule_type AS rule_type, tb.rule_type AS before_rule_type, tb.tier AS b_tier, ta.tier AS a_tier
+  FROM tb FULL OUTER JOIN ta ON tb.name = ta.name WHERE tb.hash IS DISTINCT FROM ta.hash),
+g AS (SELECT c.*, change_type = 'CHANGE_TYPE_CHANGED' AS both_,
+  EXISTS (SELECT 1 FROM f JOIN c d ON d.name = f.dst WHERE f.src = c.name AND d.change_type = 'CHANGE_TYPE_CHANGED') AS dep_changed0,
+  EXISTS (SELECT 1 FROM f JOIN c d ON d.name = f.dst WHERE f.src = c.name AND d.change_type <> 'CHANGE_TYPE_DELETED' AND d.rule_type = 'source file') AS source_dep_changed0,
+  (SELECT count(*) FROM e WHERE e.src = c.name) <> (SELECT count(*) FROM f WHERE f.src = c.name)
+   OR EXISTS (SELECT 1 FROM e WHERE e.src = c.name AND NOT EXISTS (SELECT 1 FROM f WHERE f.src = c.name AND f.dst = e.dst)) AS dep_set_changed0,
+  b_tier <> a_tier AS attrs_changed0 FROM c),
+s AS (SELECT name, change_type, rule_type, before_rule_type, both_ AND dep_changed0 AS dep_changed, both_ AND source_dep_changed0 AS source_dep_changed, both_ AND dep_set_changed0 AS dep_set_changed, both_ AND attrs_changed0 AS attrs_changed,
+  NOT both_ OR rule_type = 'source file' OR NOT dep_changed0 OR source_dep_changed0 OR dep_set_changed0 OR attrs_changed0 AS is_seed FROM g)"""
+
+#: Distances: all walks of changed targets from the seeds, as deep as the graph is.
+_WALK = _DIFF + """,
+w AS (SELECT name, 0 AS level FROM s WHERE is_seed UNION SELECT f.src, w.level + 1 FROM w JOIN f ON f.dst = w.name JOIN s ON s.name = f.src WHERE w.level < 8),
+r AS (SELECT s.name, s.change_type, coalesce(CAST(min(level) AS INTEGER), -1) AS distance FROM s LEFT JOIN w ON s.name = w.name GROUP BY s.name, s.change_type)"""
+
+
+
+# --- graph tables ---
+
+
+@query(_sql("SELECT n.name, n.rule_type, sha1(concat_ws('|', n.name, n.rule_type, n.own, n.tier)) AS own_hash, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') AS deps, CASE WHEN n.tier = '' THEN '' ELSE 'tier=' || n.tier END AS attributes FROM n LEFT JOIN e ON e.src = n.name GROUP BY ALL"))
+def graph_targets(spark, sf_dir):
+    t = fixtures.graph(spark, sf_dir)
+    return t.select("name", "rule_type", F.lower(F.hex("own")).alias("own_hash"), F.array_join("deps", ",").alias("deps"), F.array_join(F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("attributes"))
+
+
+@query(_sql("SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INTEGER) AS ord FROM e"))
+def graph_edges(spark, sf_dir):
+    return diff.edges(fixtures.graph(spark, sf_dir))
+
+
+@query(_sql("SELECT name, regexp_extract(name, '^(.*):[^:]*$', 1) AS package, regexp_extract(name, '([^:]*)$', 1) AS target, regexp_replace(split_part(name, ':', 1), '^//', '') AS path, name LIKE '@%' AS external FROM m"))
+def label_parts(spark, sf_dir):
+    name = F.col("name")
+    return fixtures.graph(spark, sf_dir, "after").select("name", labels.package_part(name).alias("package"), labels.name_part(name).alias("target"), labels.package_of(name).alias("path"), labels.is_external(name).alias("external"))
+
+
+@query(_sql("SELECT name, row_number() OVER (PARTITION BY regexp_extract(name, '^(.*):[^:]*$', 1) ORDER BY regexp_extract(name, '([^:]*)$', 1)) AS rank_in_package FROM n"))
+def pkg_name_rank(spark, sf_dir):
+    name = F.col("name")
+    w = W.partitionBy(labels.package_part(name)).orderBy(labels.name_part(name))
+    return fixtures.graph(spark, sf_dir).select("name", F.row_number().over(w).cast("long").alias("rank_in_package"))
+
+
+# --- hashes, roots, reachability ---
+
+
+@query(_sql("SELECT name, hash FROM ta"))
+def merkle_hash(spark, sf_dir):
+    return fixtures.pair(spark, sf_dir)[1].select("name", "hash")
+
+
+@query(_sql("SELECT name FROM n WHERE rule_type NOT IN ('source file', 'package group') AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst = n.name)"))
+def roots(spark, sf_dir):
+    return merkle.roots(fixtures.graph(spark, sf_dir))
+
+
+@query(_sql("SELECT dst AS name, count(*) AS in_degree FROM e GROUP BY dst"))
+def in_degree(spark, sf_dir):
+    return merkle.in_degree(fixtures.graph(spark, sf_dir))
+
+
+@query(_sql("SELECT dst AS name, md5(string_agg(src, ',' ORDER BY src)) AS dependents FROM e GROUP BY dst"))
+def reverse_adjacency(spark, sf_dir):
+    return merkle.reverse_adjacency(fixtures.graph(spark, sf_dir)).select("name", F.md5(F.array_join("dependents", ",")).alias("dependents"))
+
+
+@query(_sql("SELECT DISTINCT name FROM x", "x AS (SELECT name FROM n WHERE kind = 'order' AND k % 11 = 1 UNION SELECT e.dst FROM x JOIN e ON e.src = x.name)", True))
+def forward_reach(spark, sf_dir):
+    t = fixtures.graph(spark, sf_dir)
+    return merkle.dependencies_of(t, t.where("kind = 'order' AND k % 11 = 1").select("name"))
+
+
+@query(_sql("SELECT DISTINCT name FROM x", "x AS (SELECT name FROM n WHERE kind = 'part' AND k % 97 = 0 OR kind = 'nation' AND k = 3 UNION SELECT e.src FROM x JOIN e ON e.dst = x.name)", True))
+def invalidation_closure(spark, sf_dir):
+    t = fixtures.graph(spark, sf_dir)
+    return merkle.dependents_of(t, t.where("kind = 'part' AND k % 97 = 0 OR kind = 'nation' AND k = 3").select("name"))
+
+
+@query(_sql("SELECT DISTINCT e.dst AS name FROM e WHERE e.dst LIKE '//part/%' AND NOT EXISTS (SELECT 1 FROM n WHERE n.name = e.dst AND n.k % 10 <> 0)"))
+def implicit_sources(spark, sf_dir):
+    t = fixtures.graph(spark, sf_dir)
+    return merkle.implicit_sources(t.where("NOT (kind = 'part' AND k % 10 = 0)"))
+
+
+# --- diff ---
+
+
+@query(_sql("SELECT name, change_type FROM c", _DIFF))
+def revision_diff(spark, sf_dir):
+    return diff.narrow(*fixtures.pair(spark, sf_dir))
+
+
+@query(_sql("SELECT change_type, coalesce(rule_type, before_rule_type) AS rule_type, count(*) AS n FROM s GROUP BY 1, 2", _DIFF))
+def change_counts_by_rule(spark, sf_dir):
+    c = diff.classify(*fixtures.pair(spark, sf_dir))
+    return c.groupBy("change_type", F.coalesce("after.rule_type", "before.rule_type").alias("rule_type")).agg(F.count("*").alias("n"))
+
+
+def _flag(name: str) -> None:
+    def f(spark, sf_dir):
+        return diff.classify(*fixtures.pair(spark, sf_dir)).where(name).select("name")
+
+    f.__name__ = name
+    query(_sql(f"SELECT name FROM s WHERE {name}", _DIFF))(f)
+
+
+for _name in ("dep_changed", "source_dep_changed", "dep_set_changed", "attrs_changed"):
+    _flag(_name)
+
+
+@query(_sql("SELECT name, change_type, is_seed FROM s", _DIFF))
+def seeds(spark, sf_dir):
+    return diff.classify(*fixtures.pair(spark, sf_dir)).select("name", "change_type", "is_seed")
+
+
+@query(_sql("SELECT name, change_type, is_seed FROM s", _DIFF.replace("b_tier <> a_tier AS attrs_changed0", "false AS attrs_changed0")))
+def seeds_allowlist(spark, sf_dir):
+    return diff.classify(*fixtures.pair(spark, sf_dir), allowed=["visibility"]).select("name", "change_type", "is_seed")
+
+
+@query(_sql("SELECT name, change_type, distance FROM r", _WALK, True))
+def distance_unlimited(spark, sf_dir):
+    return diff.diff(*fixtures.pair(spark, sf_dir)).select("name", "change_type", "distance")
+
+
+@query(_sql("SELECT name, change_type, distance FROM r WHERE distance BETWEEN 0 AND 1", _WALK, True))
+def distance_max1(spark, sf_dir):
+    return diff.within(diff.diff(*fixtures.pair(spark, sf_dir)), 1).select("name", "change_type", "distance")
+
+
+@query(_sql("SELECT distance, count(*) AS n FROM r GROUP BY distance", _WALK, True))
+def distance_histogram(spark, sf_dir):
+    return diff.diff(*fixtures.pair(spark, sf_dir)).groupBy("distance").agg(F.count("*").alias("n"))
+
+
+@query(_sql("SELECT coalesce(tb.name, ta.name) AS name, CASE WHEN tb.name IS NULL THEN 'CHANGE_TYPE_NEW' WHEN ta.name IS NULL THEN 'CHANGE_TYPE_DELETED' ELSE 'CHANGE_TYPE_CHANGED' END AS change_type, 0 AS distance FROM tb FULL OUTER JOIN ta ON tb.name = ta.name"))
+def all_targets_promotion(spark, sf_dir):
+    return diff.all_targets(*fixtures.pair(spark, sf_dir)).select("name", "change_type", "distance")
