@@ -345,8 +345,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a binary, b binary")
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable by links, itself included); one row per document."""
+def _resolve(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) of each document, and of each class (c, id_least and rep of its component): both stored."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("t"))
     id_type = docs.select(F.col(key).alias("id")).schema[0].dataType.simpleString()
@@ -387,13 +387,47 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     pairs = met.repartition(n_parts, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_block_pairs, "a binary, b binary").distinct()
     more = store(_links(store(pairs), passed.select("cls", "s")))
     every = store(components(links.union(more)))
-    # names
+    # names: of a component's classes that with the smallest id stands for it
     classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least")))
     in_group = store(every.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "least"))
-    least = in_group.groupBy("component").agg(F.min("least").alias("id_least"))
+    first = in_group.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("first"))
+    grouped = in_group.join(first, "component").select(F.col("cls").alias("g"), "first")
     facts = store(
-        classes.join(in_group.join(least, "component").select(F.col("cls").alias("c"), "id_least"), F.col("cls") == F.col("c"), "left")
-        .select(F.col("cls").alias("c"), F.coalesce("id_least", "least").alias("id_least"))
+        classes.join(grouped, F.col("cls") == F.col("g"), "left").select(
+            F.col("cls").alias("c"), F.when(F.col("g").isNull(), F.col("least")).otherwise(F.col("first.least")).alias("id_least"), F.coalesce("first.cls", "cls").alias("rep")
+        )
     )
+    return rows, facts
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_shingles, component_id (smallest key reachable by links, itself included); one row per document."""
+    rows, facts = _resolve(docs, text, key)
     out = rows.join(facts, F.col("cls") == F.col("c"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("id_least", "id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One document of each component, that with the smallest key (one of them, if rows repeat); the columns of docs.
+
+    Documents with an empty set are all kept.
+    """
+    _, facts = _resolve(docs, text, key)
+    keepers = store(facts.where(F.col("c") == F.col("rep")).select("c", F.col("id_least").alias("_keep")))
+    names = docs.columns
+    k = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = pa.array([digest(s) if len(s) else None for s in shingles(*flat_text(batch.column(k)))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cls], names=[*names, "__cls"])
+
+    marked = docs.mapInArrow(run, docs.select("*", F.lit(None).cast("binary").alias("__cls")).schema)
+    # documents with an empty set get a key of their own, which no keeper has
+    empty = F.col("__cls").isNull()
+    number = F.monotonically_increasing_id()
+    marked = marked.select("*", empty.alias("__empty"), F.when(empty, number).otherwise(F.lit(0)).alias("__own"))
+    marked = marked.withColumn("__cls", F.coalesce("__cls", F.encode(F.col("__own").cast("string"), "utf-8")))
+    found = marked.join(keepers, (F.col("__cls") == F.col("c")) & F.col(key).eqNullSafe(F.col("_keep")), "left")
+    kept = found.where(F.col("__empty") | F.col("c").isNotNull())
+    return kept.dropDuplicates(["__cls", key, "__own"]).select(*names)

@@ -148,9 +148,12 @@ def mix(
     shards: int = SHARDS,
     block_docs: int = BLOCK_DOCS,
     carry: tuple[str, ...] = (),
+    prefix: str = "",
 ) -> DataFrame:
     """key, size, source_size, target, placements and the columns of carry; one row per document.
 
+    prefix goes before the names of the four.
+
     placements: array of struct(shard, copy, position, words), one entry for each time the document is taken; words is
     its size, or less for the one document of a source in which the last pass ends. The words of a source's entries add
     up to its target, rounded. Within a shard, documents are ordered by position.
@@ -202,4 +205,5 @@ def mix(
     taken = lambda c: F.when(F.col("cut").isNotNull() & (c["copy"] == F.col("passes")), in_cut).otherwise(F.col("size"))
     entry = lambda c: F.struct(c["shard"].alias("shard"), c["copy"].alias("copy"), F.xxhash64(F.lit(SEED + 2), "_key", "_t", c["copy"]).alias("position"), taken(c).alias("words"))
     placements = F.filter(F.transform("copies", entry), lambda x: x["words"] > 0)
-    return out.select(F.col("_key").alias(key), *[F.col(f"_carry_{c}").alias(c) for c in carry], "size", "source_size", "target", placements.alias("placements"))
+    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "placements": placements}
+    return out.select(F.col("_key").alias(key), *[F.col(f"_carry_{c}").alias(c) for c in carry], *[c.alias(f"{prefix}{n}") for n, c in own.items()])
