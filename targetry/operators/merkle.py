@@ -116,7 +116,7 @@ def hash_graph(targets: DataFrame, sequential: tuple[str, ...] = ()) -> DataFram
     below = inner.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_list(F.struct("dst", "ord", "hash"))).alias("below"))
     rows = rest.join(targets.select("name", "own", "rule_type"), "name").join(below, "name", "left").join(used, "name", "left")
     rows = rows.select("name", "own", F.col("below.dst").alias("dst"), F.col("below.hash").alias("dst_hash"), (F.col("used").isNull() & can_be_root(F.col("rule_type"))).alias("root"))
-    walked = rows.groupBy(F.lit(0)).applyInPandas(lambda frame: _walk(frame, sequential), "name string, hash string")
+    walked = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda frame: _walk(frame, sequential), "name string, hash string")
     return levels.select("name", "hash").union(walked)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from targetry.functions import keys, labels
-from targetry.operators import diff, merkle
+from targetry.functions import canonical, keys, labels, sizes
+from targetry.operators import changes, dictionaries, diff, incremental, merkle, snapshots
 from targetry.plans import fixtures
+from targetry.sources.tables import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -182,3 +183,197 @@ def distance_histogram(spark, sf_dir):
 @query(_sql("SELECT coalesce(tb.name, ta.name) AS name, CASE WHEN tb.name IS NULL THEN 'CHANGE_TYPE_NEW' WHEN ta.name IS NULL THEN 'CHANGE_TYPE_DELETED' ELSE 'CHANGE_TYPE_CHANGED' END AS change_type, 0 AS distance FROM tb FULL OUTER JOIN ta ON tb.name = ta.name"))
 def all_targets_promotion(spark, sf_dir):
     return diff.all_targets(*fixtures.pair(spark, sf_dir)).select("name", "change_type", "distance")
+
+
+# --- exclusion, incremental update, cycles ---
+
+_EXCLUDED = """
+x AS (SELECT n.*, name LIKE '//customer/%1:lib' AS cut, sha1(concat_ws('|', name, rule_type, own, tier)) AS w FROM n),
+v AS (SELECT name FROM x WHERE rule_type <> 'source file' AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst = x.name)
+  UNION SELECT e.dst FROM v JOIN x ON x.name = v.name AND NOT x.cut JOIN e ON e.src = v.name),
+x0 AS (SELECT name, CASE WHEN cut OR name NOT IN (SELECT name FROM v) THEN '' ELSE sha1(unhex(w)) END AS hash FROM x WHERE kind IN ('region', 'part', 'line')),
+x1 AS (SELECT * FROM x0 UNION ALL SELECT x.name, CASE WHEN x.cut OR x.name NOT IN (SELECT name FROM v) THEN '' ELSE sha1(unhex(x.w || string_agg(h.hash, '' ORDER BY e.dst))) END FROM x JOIN e ON e.src = x.name JOIN x0 h ON h.name = e.dst WHERE x.kind = 'nation' GROUP BY x.name, x.cut, x.w),
+x2 AS (SELECT * FROM x1 UNION ALL SELECT x.name, CASE WHEN x.cut OR x.name NOT IN (SELECT name FROM v) THEN '' ELSE sha1(unhex(x.w || string_agg(h.hash, '' ORDER BY e.dst))) END FROM x JOIN e ON e.src = x.name JOIN x1 h ON h.name = e.dst WHERE x.kind IN ('customer', 'supplier') GROUP BY x.name, x.cut, x.w),
+x3 AS (SELECT * FROM x2 UNION ALL SELECT x.name, sha1(unhex(x.w || string_agg(h.hash, '' ORDER BY e.dst))) FROM x JOIN e ON e.src = x.name JOIN x2 h ON h.name = e.dst WHERE x.kind = 'order' GROUP BY x.name, x.w)"""
+
+
+@query(_sql("SELECT name, hash FROM x3", _EXCLUDED, True))
+def merkle_excluded(spark, sf_dir):
+    """Excluded targets have the empty hash, and so has what only they lead to."""
+    t = store(fixtures.graph(spark, sf_dir))
+    cut = changes.matches(F.col("name"), ("^//customer/[0-9]*1:lib$",))
+    open_ = t.where(~cut)
+    seen = merkle.dependencies_of(open_, merkle.roots(t)).withColumn("seen", F.lit(True))
+    fixed = F.when(cut | F.col("seen").isNull(), F.lit(""))
+    marked = store(t.join(seen, "name", "left").select("name", "own", "deps", "rule_type", fixed.alias("fixed")))
+    return merkle.hash_graph(marked)
+
+
+@query(_sql("SELECT (SELECT count(*) FROM ta) AS n_targets, CAST(0 AS BIGINT) AS n_differ"))
+def incremental_vs_full(spark, sf_dir):
+    """The second revision from the first by replacing the packages that differ, against hashing it whole."""
+    before, after = (store(fixtures.graph(spark, sf_dir, w)) for w in ("before", "after"))
+    full_before, full_after = fixtures.pair(spark, sf_dir)
+    previous = full_before.select("name", "hash").join(before.select("name", "own", "deps", "rule_type"), "name")
+    rows = lambda df: df.select("name", F.md5(F.concat_ws("|", F.hex("own"), F.array_join("deps", ","))).alias("m"))
+    touched = rows(before).exceptAll(rows(after)).select("name").union(rows(after).exceptAll(rows(before)).select("name"))
+    packages = store(touched.select(labels.package_of(F.col("name")).alias("package")).distinct())
+    left = after.select(labels.package_of(F.col("name")).alias("package")).distinct()
+    changed, gone = packages.join(left, "package", "left_semi"), packages.join(left, "package", "left_anti")
+    fresh = after.withColumn("package", labels.package_of(F.col("name"))).join(changed, "package", "left_semi")
+    fresh = fresh.select("name", F.lit(None).cast("string").alias("hash"), "own", "deps", "rule_type")
+    updated = incremental.update(previous, fresh, changed, gone).select("name", F.col("hash").alias("h"))
+    both = updated.join(full_after.select("name", "hash"), "name", "full_outer")
+    return both.agg(F.count("*").alias("n_targets"), F.count_if(~F.col("h").eqNullSafe(F.col("hash"))).alias("n_differ"))
+
+
+@query()
+def cycle_hash(spark, sf_dir):
+    """The graph with nations of a region tied into a ring; rings are hashed depth first from the roots."""
+    t = store(fixtures.graph(spark, sf_dir))
+    nation = t.where("kind = 'nation'").select("k", "name")
+    ring = nation.select("name", F.concat(F.lit("//nation/"), (F.col("k") + 1) % 25, F.lit(":lib")).alias("extra"))
+    tied = t.join(ring, "name", "left").withColumn("deps", F.when(F.col("extra").isNull(), F.col("deps")).otherwise(F.array_sort(F.array_union("deps", F.array("extra"))))).drop("extra")
+    return merkle.hash_graph(store(tied))
+
+
+@query(_sql("SELECT name, CASE WHEN k % 3 = 0 THEN sha1(unhex(sha1('repo' || CAST(k % 7 AS VARCHAR)))) END AS hash, CASE WHEN k % 3 = 0 THEN '@@repo' || CAST(k % 7 AS VARCHAR) || name WHEN k % 3 = 1 THEN '@lib' || CAST(k % 5 AS VARCHAR) || name ELSE name END AS label FROM n WHERE kind = 'part'"))
+def repo_collapse(spark, sf_dir):
+    """Files of canonical repositories take the hash of their repository's marker; names without one are left alone."""
+    t = fixtures.graph(spark, sf_dir).where("kind = 'part'")
+    k = F.col("k")
+    label = F.when(k % 3 == 0, F.concat(F.lit("@@repo"), (k % 7).cast("string"), F.col("name"))).when(k % 3 == 1, F.concat(F.lit("@lib"), (k % 5).cast("string"), F.col("name"))).otherwise(F.col("name"))
+    markers = t.select(F.concat(F.lit("repo"), (k % 7).cast("string")).alias("repo")).distinct().withColumn("marker", F.sha1(F.col("repo").cast("binary")))
+    named = t.select("name", label.alias("label"), labels.canonical_repo(label).alias("repo"))
+    return named.join(markers, "repo", "left").select("name", F.sha1(F.unhex("marker")).alias("hash"), "label")
+
+
+# --- dictionaries, chunks, encodings ---
+
+
+@query(_sql("SELECT name, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS id FROM (SELECT name FROM n UNION SELECT dst FROM e)"))
+def dict_ids(spark, sf_dir):
+    t = fixtures.graph(spark, sf_dir)
+    return dictionaries.dense_ids(t.select("name").union(diff.edges(t).select("dst")))
+
+
+@query(_sql("SELECT name, rule_type, coalesce(string_agg(dst, ',' ORDER BY dst), '') AS deps FROM n LEFT JOIN e ON e.src = n.name AND e.dst NOT LIKE '//part/%' WHERE n.kind <> 'part' GROUP BY name, rule_type"))
+def dict_resolve(spark, sf_dir):
+    """Ids and back, with the parts missing in the dictionary of names."""
+    t = store(fixtures.graph(spark, sf_dir).select("kind", "name", "rule_type", "deps"))
+    ids = store(dictionaries.dense_ids(t.select("name")))
+    kinds = store(dictionaries.dense_ids(t.select(F.col("rule_type").alias("name"))))
+    dep_ids = t.select("name", F.posexplode("deps").alias("ord", "dep")).join(ids.select(F.col("name").alias("dep"), "id"), "dep").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("deps"))
+    mapped = t.drop("deps").join(ids, "name").join(kinds.select(F.col("name").alias("rule_type"), F.col("id").alias("rt")), "rule_type").join(dep_ids, "name", "left")
+    mapped = mapped.select("id", F.lit("").alias("hash"), F.coalesce("deps", F.array().cast("array<int>")).alias("deps"), F.col("rt").alias("rule_type"))
+    known = ids.where("name NOT LIKE '//part/%'")
+    return dictionaries.resolve(mapped, known, kinds).select("name", "rule_type", F.array_join("deps", ",").alias("deps"))
+
+
+@query("SELECT o_orderkey % 1000 AS id, arg_max(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY 1")
+def chunk_merge_last_wins(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select((F.col("o_orderkey") % 1000).alias("id"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") / 1000).cast("long").alias("chunk_no"), F.col("o_orderkey").alias("pos"))
+    return dictionaries.last_wins(rows, ["id"], ["chunk_no", "pos"]).select("id", "name")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 20 AS VARCHAR) AS remote, max(event_id) AS snapshot FROM orders LEFT JOIN events ON user_id % 20 = o_custkey % 20 AND event_id <= o_orderkey GROUP BY 1, 2")
+def floor_snapshot(spark, sf_dir):
+    """For each order the latest event of its group whose id is at most the order's."""
+    e, o = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    snaps = e.select((F.col("user_id") % 20).cast("string").alias("remote"), F.col("event_id").alias("commit_ts"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("sha"))
+    probes = o.select((F.col("o_custkey") % 20).cast("string").alias("remote"), F.col("o_orderkey").alias("ts"), "o_orderkey")
+    return snapshots.floor_join(probes, snaps, "remote").select("o_orderkey", "remote", F.col("commit_ts").alias("snapshot"))
+
+
+_PATHS = "SELECT CASE o_orderkey % 7 WHEN 0 THEN 'WORKSPACE' WHEN 1 THEN concat('docs/', o_orderkey, '.md') WHEN 2 THEN concat('src/p', o_orderkey, '/BUILD.bazel') WHEN 3 THEN concat('tools/r', o_orderkey, '.bzl') ELSE concat('src/p', o_orderkey, '/a.go') END AS path, substring('MADR', CAST(o_orderkey % 4 + 1 AS INTEGER), 1) AS status, o_custkey FROM {orders}"
+_PATTERNS = changes.Patterns(critical=("^WORKSPACE$",), ignored=("[.]md$",), build=("(^|/)BUILD([.]bazel)?$",))
+_CATEGORY = "CASE WHEN regexp_matches(path, '^WORKSPACE$') THEN 'critical' WHEN regexp_matches(path, '[.]md$') THEN 'ignored' WHEN regexp_matches(path, '(^|/)BUILD([.]bazel)?$') THEN 'build' WHEN path LIKE '%.bzl' THEN 'bzl' ELSE 'regular' END"
+
+
+def _changes(spark, sf_dir):
+    return spark.sql(_PATHS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+@query(f"SELECT {_CATEGORY} AS category, status, count(*) AS n FROM ({_PATHS.format(orders='orders')}) GROUP BY 1, 2")
+def file_categories(spark, sf_dir):
+    return changes.counts(_changes(spark, sf_dir), _PATTERNS)
+
+
+@query(f"""WITH p AS (SELECT *, {_CATEGORY} AS c FROM ({_PATHS.format(orders='orders')})),
+x AS (SELECT 'all' AS part, * FROM p UNION ALL SELECT 'docs', * FROM p WHERE c = 'ignored' UNION ALL SELECT 'code', * FROM p WHERE c = 'regular' AND status = 'M' UNION ALL SELECT 'build', * FROM p WHERE c IN ('regular', 'build') UNION ALL SELECT 'bzl', * FROM p WHERE c = 'bzl')
+SELECT part, CASE WHEN bool_and(c = 'ignored') THEN 'NO_CHANGE' WHEN bool_or(c = 'critical') THEN 'FULL' WHEN bool_and(c = 'regular' AND status = 'M') THEN 'REGULAR_ONLY' WHEN bool_and(c IN ('regular', 'build', 'ignored')) THEN 'REPARSE' ELSE 'UNKNOWN' END AS verdict, count(*) AS n_files FROM x GROUP BY part""")
+def change_complexity(spark, sf_dir):
+    p = _changes(spark, sf_dir)
+    c = changes.category(F.col("path"), _PATTERNS)
+    parts = {"all": F.lit(True), "docs": c == "ignored", "code": (c == "regular") & (F.col("status") == "M"), "build": c.isin("regular", "build"), "bzl": c == "bzl"}
+    out = [changes.verdict(p.where(w), _PATTERNS).select(F.lit(k).alias("part"), "verdict", "n_files") for k, w in parts.items()]
+    for x in out[1:]:
+        out[0] = out[0].union(x)
+    return out[0]
+
+
+_FRAMES = "CASE WHEN len({x}) = 0 THEN '' ELSE md5(array_to_string(list_transform({x}, lambda v: strlen(v) || ':' || v), '')) END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, 'repo' || CAST(o_custkey % 9 AS VARCHAR) AS repo, md5(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['https://é/' || CAST(o_custkey AS VARCHAR), o_orderpriority] END AS urls, CASE WHEN o_orderkey % 2 = 0 THEN CAST([] AS VARCHAR[]) ELSE [o_orderstatus || '$', '^a'] END AS pats FROM orders),
+h AS (SELECT *, {_FRAMES.format(x='urls')} AS u, {_FRAMES.format(x='list_sort(pats)')} AS p FROM o)
+SELECT o_orderkey, repo || '/graphs/' || sha || '/NATIVE-tgb' || CASE WHEN p = '' THEN '' ELSE '_requests-options-' || p END AS graph_key, repo || '/treehashes/base-sha-' || sha || CASE WHEN u = '' THEN '' ELSE '_request-urls-' || u END AS treehash_key,
+ repo || '/compared-targets/' || sha || '_' || sha || CASE WHEN p = '' THEN '' ELSE '_requests-options-' || p END AS diff_key FROM h""")
+def cache_keys(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    none = F.array().cast("array<string>")
+    urls = F.when(F.col("o_orderkey") % 3 == 0, none).otherwise(F.array(F.concat(F.lit("https://é/"), F.col("o_custkey").cast("string")), F.col("o_orderpriority")))
+    patterns = F.when(F.col("o_orderkey") % 2 == 0, none).otherwise(F.array(F.concat("o_orderstatus", F.lit("$")), F.lit("^a")))
+    repo, sha = F.concat(F.lit("repo"), (F.col("o_custkey") % 9).cast("string")), F.md5(F.col("o_orderkey").cast("string"))
+    u, p = keys.request_hash(urls), keys.exclusion_hash(patterns)
+    return o.select("o_orderkey", keys.graph_key(repo, sha, F.lit("NATIVE"), p).alias("graph_key"), keys.treehash_key(repo, sha, u).alias("treehash_key"), keys.diff_key(repo, sha, sha, p).alias("diff_key"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, list_sort(list(l_partkey)) AS deps FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT l_orderkey, CAST(list_sum(list_transform(deps, lambda x: CASE WHEN x < 128 THEN 1 WHEN x < 16384 THEN 2 WHEN x < 2097152 THEN 3 ELSE 4 END)) AS BIGINT) AS d FROM v)
+SELECT l_orderkey, CASE WHEN l_orderkey = 0 THEN 0 WHEN l_orderkey < 0 THEN 11 ELSE 1 END + CASE WHEN l_orderkey = 0 THEN 0 WHEN l_orderkey < 128 THEN 1 WHEN l_orderkey < 16384 THEN 2 WHEN l_orderkey < 2097152 THEN 3 ELSE 4 END + 42 + 1 + CASE WHEN d < 128 THEN 1 ELSE 2 END + d + 2 + CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END AS n_bytes FROM s""")
+def row_wire_size(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("deps"))
+    size = sizes.target_size(F.col("l_orderkey"), F.sha1(F.col("l_orderkey").cast("string")), F.col("deps"), F.lit(7), F.array().cast("array<int>"), F.col("l_orderkey") % 2 == 0, F.lit(False))
+    return v.select("l_orderkey", size.cast("long").alias("n_bytes"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_partkey - coalesce(lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey), 0) AS delta FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+def delta_encoding(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    return v.select("l_orderkey", "l_partkey", (F.col("l_partkey") - F.lag("l_partkey", 1, 0).over(W.partitionBy("l_orderkey").orderBy("l_partkey"))).alias("delta"))
+
+
+@query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n, min(event_id) AS first_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events) GROUP BY user_id, event_type, island")
+def runs(spark, sf_dir):
+    """Runs of equal events of a user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id")
+    island = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("event_id"))
+    return e.withColumn("island", island).groupBy("user_id", "event_type", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event")).drop("island")
+
+
+@query(_sql("SELECT name, CAST(coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY package ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block FROM (SELECT name, regexp_extract(name, '^(.*):[^:]*$', 1) AS package, regexp_extract(name, '([^:]*)$', 1) AS target, md5(name) < '4' AS cut FROM n)"))
+def block_cuts_natural(spark, sf_dir):
+    """Blocks of a package's targets, cut after a target whose label's hash falls below a bound."""
+    name = F.col("name")
+    w = W.partitionBy(labels.package_part(name)).orderBy(labels.name_part(name)).rowsBetween(W.unboundedPreceding, -1)
+    return fixtures.graph(spark, sf_dir).select("name", F.coalesce(F.sum((F.md5(name) < "4").cast("long")).over(w), F.lit(0)).cast("long").alias("block"))
+
+
+@query()
+def canonical_rule_hash(spark, sf_dir):
+    """SHA-1 of each order's definition as a rule with a name, a class, one attribute and its inputs."""
+    t = fixtures.graph(spark, sf_dir).where("kind = 'order'")
+    attributes = F.from_json(F.to_json(F.array(F.struct(F.lit("tier").alias("name"), F.lit("STRING").alias("type"), F.col("attributes")["tier"].alias("string_value")))), f"array<{canonical.ATTRIBUTE_TYPE}>")
+    none = F.array().cast("array<string>")
+    rule = F.struct("name", F.col("rule_type").alias("rule_class"), attributes.alias("attributes"), F.col("deps").alias("rule_input"), none.alias("rule_output"), none.alias("default_setting"), F.lit(None).cast("string").alias("skylark_env_hash"))
+    return t.select("name", F.lower(F.hex(canonical.rule_hash_udf(rule))).alias("hash"))
+
+
+@query()
+def greedy_chunks(spark, sf_dir):
+    """Orders by key in response chunks of at most 64 kB; chunk sizes are decided row by row on the driver's iterator."""
+    rows = row_wire_size(spark, sf_dir).orderBy("l_orderkey")
+    found = [(i, len(c), sum(r.n_bytes for r in c)) for i, c in enumerate(sizes.chunks(rows.toLocalIterator(), lambda r: r.n_bytes, 65_536))]
+    return spark.createDataFrame(found, "chunk_no long, n_rows long, n_bytes long")
