@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are handled in blocks of about this many bytes, so that memory doesn't depend on the Arrow batch.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 #: ASCII white space, which ends a token: \x20 and \x09-\x0D.
 SPACE_CODES = (9, 10, 11, 12, 13, 32)
 TOKEN_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -63,6 +64,12 @@ def forget(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: it does so once the driver's objects for them are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -215,6 +222,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
         # large star: each node's larger neighbours are tied to its smallest neighbour (or to itself)
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -204,9 +204,10 @@ def score(docs: DataFrame, learn: Column, text: str = "text", carry: tuple[str,
         latest = (F.shiftright("key", 8).bitwiseAND(0xFFFF) * 40503)
         own = pairs if parts == 1 else pairs.where(F.shiftright(latest, 4) % parts == part)
         trie = spark.sparkContext.broadcast(Trie(*_pairs(own), *low, parts, part))
-        now = now.mapInArrow(_scorer(trie, now.columns), now.schema)
+        if part < parts - 1:
+            now = store(now.mapInArrow(_scorer(trie, now.columns), now.schema))
     schema = now.drop("_text").select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.array().cast("array<bigint>").alias("rare"), F.array().cast("array<bigint>").alias("rare_n")).schema
-    scored = store(now.mapInArrow(_base(vocabulary, end, below, now.columns), schema))
+    scored = store(now.mapInArrow(_base(vocabulary, trie, end, below, now.columns), schema))
     rare = scored.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("_row", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("m"))
     rare = rare.join(words.where(F.col("n") <= least).select("key", "n") if least else words.where("false").select("key", "n"), "key", "left")
     sums = rare.groupBy("_row").agg(
@@ -240,9 +241,13 @@ def _scorer(shared, names: list[str]):
     return run
 
 
-def _base(shared, end: tuple[float, int], below: float, names: list[str]):
+def _base(shared, shared_trie, end: tuple[float, int], below: float, names: list[str]):
+    """The last slice's scores, and of the words what the broadcast ones give."""
+    last_slice = _scorer(shared_trie, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = shared.value
+        batches = last_slice(batches)
         for batch in batches:
             k = names.index("_text")
             raw, at = flat_text(batch.column(k))
