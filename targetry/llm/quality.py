@@ -25,7 +25,7 @@ GRADES = 3
 #: Rated documents to fit on, at most.
 MAX_ROWS = 16_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 1e-3
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1e-3
 #: Documents whose top grade is less likely than this are rejected.
 THRESHOLD = 0.5
 
@@ -35,7 +35,14 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 2, 3, 4, 7
 _CLASS[[9, 10, 11, 12, 13, 32]] = 1
 _CLASS[[ord(c) for c in ",.;:'\"()?-"]] = 5
 _SHAPES = 14
-FEATURES = (1 << BITS) + _SHAPES * 16 + 1
+#: ASCII symbols, each with its share of the text.
+_SYMBOLS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
+_BUCKETS = 16
+FEATURES = (1 << BITS) + (_SHAPES + len(_SYMBOLS)) * _BUCKETS + 1
+#: Bytes of the word beginnings that are features beside the words.
+BEGINNINGS = (5, 7)
+#: Features of fewer rated documents get no weight.
+LEAST_DOCS = 8
 
 
 def features(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -46,6 +53,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         starts, stops, first = cut_words(low, ends, WORD_BYTES)
         hashes = word_hashes(low, starts, stops)
         ids = (hashes >> U64(64 - BITS)).astype(np.int64)
+        begins = [(word_hashes(low, starts, np.minimum(stops, starts + b)) * U64(2 * b + 1) >> U64(64 - BITS)).astype(np.int64) for b in BEGINNINGS]
         again = np.append(False, hashes[1:] == hashes[:-1])
         classes = _CLASS[part]
         for k in range(j - i):
@@ -54,10 +62,12 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
             size = max(1, int(ends[k + 1] - ends[k]))
             by = np.bincount(classes[ends[k] : ends[k + 1]], minlength=8)
             words = np.unique(ids[own])
+            parts = np.unique(np.concatenate([words, *[b[own] for b in begins]]))
+            symbols = np.bincount(part[ends[k] : ends[k + 1]], minlength=256)[_SYMBOLS] / size
             letters = max(1, int(by[2] + by[3]))
             shares = [*(by[[0, 1, 4, 5, 6, 7]] / size), by[3] / letters, 1 - len(words) / max(1, n), again[own].sum() / max(1, n), n / size, by[6] / max(1, n), by[5] / max(1, n), 1 / max(1, n), 0 if n else 1]
-            buckets = np.minimum(15, np.log2(1 + np.array(shares) * 1024)).astype(np.int64)
-            yield np.concatenate([words, (1 << BITS) + np.arange(_SHAPES) * 16 + buckets, [FEATURES - 1]])
+            buckets = np.minimum(_BUCKETS - 1, np.log2(1 + np.concatenate([shares, symbols]) * 1024)).astype(np.int64)
+            yield np.concatenate([parts, (1 << BITS) + np.arange(len(buckets)) * _BUCKETS + buckets, [FEATURES - 1]])
 
 
 def logistic(x):
@@ -75,6 +85,11 @@ class Model:
     def fit(self, rows: list[tuple[np.ndarray, int]], seed: int = 5) -> None:
         """Follow-the-regularised-leader for the weights, plain gradient steps for the first threshold and the gaps."""
         z, n = np.zeros(FEATURES), np.zeros(FEATURES)
+        seen = np.zeros(FEATURES, np.int64)
+        for where, _ in rows:
+            seen[where] += 1
+        least = min(LEAST_DOCS, max(1, len(rows) // 50))
+        rows = [(where[seen[where] >= least], y) for where, y in rows]
         first, gap = -1.0, np.log(2.0)
 
         def at(where):

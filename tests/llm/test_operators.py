@@ -305,7 +305,7 @@ def plain_hits(text, items):
 def test_decontamination(spark):
     items = [(1, prose(25, 100)), (2, "Short Item!"), (3, None), (4, "..."), (5, prose(25, 100)), (6, "é x é")]
     p = prose(25, 100)
-    texts = [p, prose(20, 7) + " " + p.upper().replace(" ", " -- ") + " tail", "a short item b", " ".join(p.split()[:9]), " ".join(p.split()[3:14]) + " z " + " ".join(p.split()[10:21]), "é x é x é", "shortitem"]
+    texts = [p, prose(40, 7) + " " + p.upper().replace(" ", " -- ") + " tail", "a short item b", " ".join(p.split()[:9]), " ".join(p.split()[3:14]) + " z " + " ".join(p.split()[10:21]), "é x é x é", "shortitem"]
     rows = [(10 + i, t) for i, t in enumerate(texts)] + ODD
     docs = table(spark, rows).withColumn("spans", F.lit(1))
     for set_bytes in (1 << 20, 100):
@@ -315,7 +315,7 @@ def test_decontamination(spark):
             n, hit, held = plain_hits(r.text, items)
             assert (r.n_words, sum(s.end - s.start for s in r.spans), set(map(int, r["items"]))) == (n, hit, held), r.doc_id
     left = {r.doc_id: r for r in decontam.decontaminate(docs, table(spark, items, "item_id long, text string")).collect() if r.doc_id is not None}
-    assert 10 not in left and left[11].text == prose(20, 7) + "  tail" and left[11].spans == 1 and left[13].text == texts[3]
+    assert 10 not in left and left[11].text == prose(40, 7) + "  tail" and left[11].spans == 1 and left[13].text == texts[3]
     assert decontam.scan(docs, table(spark, [], "item_id long, text string")).where("size(items) > 0").count() == 0
 
 
