@@ -9,12 +9,17 @@ One R-tree over everything would meet each point with all others of like size, s
 by lossless rules, and trees are built within blocks:
 
 1. Equal sets are one class (by a 128-bit digest).
-2. Stars: classes that agree in most of 8 minimum-hash bins with a common centre are verified against that centre
-   alone. Large groups of near copies become one component in this step, without all their pairs.
+2. Neighbours: of the classes that share one of 8 minimum-hash bins, each is verified against a few others that agree
+   with it in AGREE bins or more. Large groups of near copies become one component in this step, without all their
+   pairs.
 3. Completion: a set can have a link to another component only if enough of the first shingles (in hash order) of the
-   set also stand among the first shingles of another component. A bitmap of such shared shingles is gathered; the few
-   sets that pass are blocked by their first shingles, large blocks are cut into chunks that meet pairwise, and each
-   block's R-tree gives the pairs to verify. Pairs within a component need no link.
+   set also stand among the first shingles of another component. A bitmap of such shared shingles is gathered. The sets
+   that pass are put to the same test with all their shingles, of which three quarters have to be shared. What is left
+   is blocked by its first shingles, those that aren't shared being first in order: components with a common one are in
+   one block. Large blocks are cut into chunks that meet pairwise, and a chunk's R-tree gives the pairs to verify.
+   Pairs within a component need no link.
+
+Sets travel as the upper six bytes of their shingles' hashes.
 
 No bucket is capped and no pair dropped. Null and empty texts and those of white space alone have an empty set and link
 with nothing. Fewer words than WIDTH are one shingle. Repeated rows are one class. Null ids are passed through; a
@@ -23,21 +28,23 @@ component is named by its smallest non-null id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, TOKEN_BYTES, U64, blocks, components, cut_words, flat_text, forget, mix, store, window_hashes, word_hashes
+from targetry.llm.common import LOWER, TOKEN_BYTES, U64, blocks, components, cut_words, flat_text, forget, mix, release, store, window_hashes, word_hashes
 
 WIDTH = 5
 #: Coordinates of a count vector.
 GROUPS = 64
 BINS = 8
-#: Bins in which a class has to agree with a star's centre.
-AGREE = 3
+#: Bins in which neighbours have to agree, and the classes of a bin that are put in a row together.
+AGREE, SALTED = 4, 256
 #: Points in a chunk of a large block, and in a leaf of an R-tree.
 CHUNK, LEAF = 128, 16
 #: Shared shingles are kept in a bitmap of 2**MOST_BITS bits at most; a fuller one only lets more sets through.
@@ -70,6 +77,18 @@ def digest(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little")
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper six bytes of each hash."""
+    return (s >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(buffer) -> np.ndarray:
+    raw = np.frombuffer(buffer, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").ravel().astype(U64)
+
+
 def needed(n: int) -> int:
     """Shingles of a set of n that a linked set shares at least."""
     return -(-3 * n // 4)
@@ -160,23 +179,25 @@ class _Once:
         return True
 
 
-def _number(cls: bytes) -> int:
-    return int.from_bytes(cls[:7], "big")
+def _number(name: bytes) -> int:
+    return int.from_bytes(hashlib.md5(name).digest()[:7], "big")
 
 
 def _wanted(shared):
+    """Of (text, id as text) the sets of wanted classes, each from the document with the class's smallest id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, once = shared.value, _Once()
         mask = len(bitmap) * 8 - 1
         for batch in batches:
             cls, sets = [], []
-            for s in shingles(*flat_text(batch.column(0))):
+            for s, i in zip(shingles(*flat_text(batch.column(0))), batch.column(1).to_pylist(), strict=True):
                 if len(s):
                     c = digest(s)
-                    k = _number(c) & mask
+                    k = _number(c + (i or "").encode()) & mask
                     if bitmap[k >> 3] >> (k & 7) & 1 and once(c):
                         cls.append(c)
-                        sets.append(s.astype("<u8").tobytes())
+                        sets.append(packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "s"])
 
     return run
@@ -184,10 +205,9 @@ def _wanted(shared):
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, s, t = batch.columns
-        good = [linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(s, t, strict=True)]
-        good = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+        *names, s, t = batch.columns
+        good = pa.array([linked(unpacked(x.as_buffer()), unpacked(y.as_buffer())) for x, y in zip(s, t, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([c.filter(good) for c in names], names=batch.schema.names[:-2])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,39 +223,40 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "s"])
 
 
-_ENTRY = np.dtype([("slot", "<u4"), ("low", "<u4"), ("high", "<u2")])  # 39 further bits' worth of slot; 6 bytes of component
+_ENTRY = np.dtype([("slot", "<u4"), ("low", "<u4"), ("high", "u1")])  # 32 further bits of the slot; five bytes of the component
 _FLUSH = 1 << 21
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(hashed: bool):
     """For each part of the slots (their first PARTS_BITS bits) the packed distinct (slot, component), where a slot of
-    several components in this task becomes one entry of component 0."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        slot = np.concatenate([h[0] for h in held])
-        comp = np.concatenate([h[1] for h in held])
-        slot, comp = _combine(slot, comp)
-        cut = np.searchsorted(slot, np.arange((1 << PARTS_BITS) + 1, dtype=np.uint64) << U64(48 - PARTS_BITS))
-        packed = np.empty(len(slot), _ENTRY)
-        packed["slot"], packed["low"], packed["high"] = slot >> U64(48 - PARTS_BITS - 32), comp & U64(0xFFFFFFFF), comp >> U64(32)
-        parts = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([packed[cut[p] : cut[p + 1]].tobytes() for p in parts.tolist()], pa.binary())], names=["part", "e"])
+    several components in this task becomes one entry of component 0. Rows: component, six-byte slots (or, hashed, six
+    bytes of shingles)."""
 
-    for batch in batches:
-        for c, s in zip(batch.column(0), batch.column(1), strict=True):
-            raw = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :6] = raw
-            held.append((wide.view("<u8").ravel(), np.full(len(raw), int.from_bytes(c.as_py()[:6], "little") | 1, U64)))
-            size += len(raw)
-            if size > _FLUSH:
-                yield from flush()
-                held.clear()
-                size = 0
-    if held:
-        yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            slot, comp = _combine(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            cut = np.searchsorted(slot, np.arange((1 << PARTS_BITS) + 1, dtype=np.uint64) << U64(48 - PARTS_BITS))
+            out = np.empty(len(slot), _ENTRY)
+            out["slot"], out["low"], out["high"] = slot >> U64(48 - PARTS_BITS - 32), comp, comp >> U64(32)
+            parts = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([out[cut[p] : cut[p + 1]].tobytes() for p in parts.tolist()], pa.binary())], names=["part", "e"])
+
+        for batch in batches:
+            for c, s in zip(batch.column(0), batch.column(1), strict=True):
+                own = unpacked(s.as_buffer())
+                held.append((slots(own, 48) if hashed else own, np.full(len(own), int.from_bytes(c.as_py()[:5], "little") or 1, U64)))
+                size += len(own)
+                if size > _FLUSH:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
 
 
 def _combine(slot: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,58 +290,78 @@ def _shared(bits: int):
     return run
 
 
+def _hits(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    k = slot.astype(np.int64)
+    return (bitmap[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _survivors(shared, bits: int):
+    """Of texts the class and the set of those with enough shared shingles in the longer prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, once = shared.value, _Once()
+        for batch in batches:
+            cls, sets = [], []
+            for s in shingles(*flat_text(batch.column(0))):
+                n = len(s)
+                if n and _hits(bitmap, slots(s[: prefix(n, slack(n))], bits)).sum() >= min(slack(n), slack(needed(n))) and once(c := digest(s)):
+                    cls.append(c)
+                    sets.append(packed(s))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "s"])
+
+    return run
 
-        def hit(s: np.ndarray) -> np.ndarray:
-            k = slots(s, bits).astype(np.int64)
-            return (bitmap[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
 
+def _finalists(shared, bits: int):
+    """Of sets those with three quarters of shared shingles, with their block keys and count vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
             rows = []
-            for s in shingles(*flat_text(batch.column(0))):
-                n = len(s)
-                if not n:
-                    continue
-                on = hit(s[: prefix(n, slack(n))])
-                if on.sum() >= min(slack(n), slack(needed(n))):
-                    short = prefix(n, 1)
-                    keys = s[:short][on[:short]]
-                    if len(keys) and once(c := digest(s)):
-                        rows.append((c, n, keys.astype(np.int64), points(s).tobytes(), s.astype("<u8").tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["cls", "n", "keys", "counts", "s"])
+            for c, m, p in zip(*batch.columns, strict=True):
+                s = unpacked(p.as_buffer())
+                on = _hits(bitmap, slots(s, bits))
+                alone = len(s) - int(on.sum())
+                if len(s) - alone >= needed(len(s)):
+                    keys = s[on][: prefix(len(s), 1) - alone]
+                    rows.append((c.as_py(), m.as_py(), len(s), keys.astype(np.int64), points(s).tobytes(), p.as_py()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["cls", "comp", "n", "keys", "counts", "s"])
 
     return run
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, chunk, cls, comp, n, counts), sorted by key, i, j: the pairs that pass the R-tree's bound."""
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (one, two, side, cls, comp, counts, s), sorted by one, two, side; side 0 is of chunk one, 1 of chunk two (none if
+    a chunk meets itself). For each pair of chunks the pairs of components with a link, once: the R-tree's bound first,
+    then the sets."""
     group, rows = None, []
 
     def join() -> pa.RecordBatch:
-        left = [r for r in rows if r[0] == group[1]]
-        right = left if group[1] == group[2] else [r for r in rows if r[0] == group[2]]
-        a, b = [], []
+        left = [r for r in rows if r[0] == 0]
+        alone = group[0] == group[1]
+        right = left if alone else [r for r in rows if r[0] == 1]
+        found: set[tuple[bytes, bytes]] = set()
         if left and right:
-            tree = Tree(np.stack([np.frombuffer(r[4], "<i4") for r in right]), np.array([r[3] for r in right]))
+            sets = {r[1]: unpacked(r[4]) for r in rows}
+            tree = Tree(np.stack([np.frombuffer(r[3], "<i4") for r in right]), np.array([len(sets[r[1]]) for r in right]))
             for r in left:
-                for k in tree.near(np.frombuffer(r[4], "<i4"), r[3]).tolist():
+                for k in tree.near(np.frombuffer(r[3], "<i4"), len(sets[r[1]])).tolist():
                     o = right[k]
-                    if o[2] != r[2] and (right is not left or o[1] > r[1]):
-                        a.append(min(r[1], o[1]))
-                        b.append(max(r[1], o[1]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    pair = (min(r[2], o[2]), max(r[2], o[2]))
+                    if o[2] != r[2] and not (alone and o[1] <= r[1]) and pair not in found and linked(sets[r[1]], sets[o[1]]):
+                        found.add(pair)
+        cols = list(zip(*sorted(found), strict=True)) or [[]] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["a", "b"])
 
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for key, i, j, *row in zip(*columns, strict=True):
-            if (key, i, j) != group:
+        for one, two, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (one, two) != group:
                 if rows:
                     yield join()
-                group, rows = (key, i, j), []
+                group, rows = (one, two), []
             rows.append(row)
     if rows:
         yield join()
@@ -330,9 +371,9 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(spark, classes: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of classes: bit by the first seven bytes. Bounded by 2**MOST_BITS bits."""
+    """A bitmap of (cls, least id), bounded by 2**MOST_BITS bits."""
     bits = min(MOST_BITS, max(12, (n * 16).bit_length()))
-    k = F.conv(F.hex(F.substring("cls", 1, 7)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
+    k = F.conv(F.substring(F.md5(F.concat("cls", F.coalesce(F.col("least").cast("string"), F.lit("")).cast("binary"))), 1, 14), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
     words = classes.select(F.shiftright(k, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(31).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), "<u4")
     out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype("<u4")
@@ -342,7 +383,22 @@ def _bitmap(spark, classes: DataFrame, n: int) -> np.ndarray:
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
     right = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a binary, b binary")
+    names = pairs.columns
+    return pairs.join(left, "b").join(right, "a").select(*names, "sa", "sb").mapInArrow(_verify, pairs.schema)
+
+
+def _parts(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _shared_slots(sets: DataFrame, bits: int, hashed: bool):
+    """Broadcast bitmap of 2**bits slots that stand in several components. sets: comp, s."""
+    spark = sets.sparkSession
+    pieces = sets.mapInArrow(_entries(hashed), "part int, e binary").repartition(_parts(spark), "part").mapInArrow(_shared(bits), "part int, bits binary").collect()
+    whole, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - PARTS_BITS - 3)
+    for p in pieces:
+        whole[p.part * width : (p.part + 1) * width] = np.frombuffer(p.bits, np.uint8)
+    return spark.sparkContext.broadcast(whole)
 
 
 def _resolve(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -351,44 +407,74 @@ def _resolve(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
     texts = docs.select(F.col(text).alias("t"))
     id_type = docs.select(F.col(key).alias("id")).schema[0].dataType.simpleString()
     rows = store(docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(_describe, f"id {id_type}, n long, cls binary, keys array<long>"))
-    # stars
-    bins = store(rows.where("cls IS NOT NULL").select("cls", F.posexplode("keys").alias("bin", "k")).where("k >= 0").distinct())
-    centres = store(bins.groupBy("bin", "k").agg(F.min("cls").alias("centre"), F.max("cls").alias("other")).where("centre <> other").drop("other"))
-    votes = bins.join(centres, ["bin", "k"]).where("cls <> centre").groupBy(F.col("cls").alias("b"), F.col("centre").alias("a")).agg(F.count("*").alias("n"))
-    stars = store(votes.where(F.col("n") >= AGREE).groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")))
-    asked = stars.select(F.col("a").alias("cls")).union(stars.select("b"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(spark, asked, stars.count() * 2))
-    sets = store(texts.mapInArrow(_wanted(bitmap), "cls binary, s binary").groupBy("cls").agg(F.first("s").alias("s")))
-    links = store(_links(stars, sets))
-    forget(bins, centres, stars, sets)
+    classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
+    # neighbours: in each bin's group (salted where it is large) the next class by hash, and the group's first class
+    bins = classes.select("cls", "keys", F.posexplode("keys").alias("bin", "k")).where("k >= 0")
+    crowd = store(bins.groupBy("bin", "k").agg(F.count("*").alias("g"), F.min("cls").alias("head")).where("g > 1"))
+    heads = crowd.select("head").distinct().join(classes.select(F.col("cls").alias("head"), F.col("keys").alias("head_keys")), "head")
+    crowd = store(crowd.join(heads, "head"))
+    met = store(bins.join(crowd, ["bin", "k"]))
+    salt = F.pmod(F.xxhash64("cls", "k"), F.ceil(F.col("g") / SALTED))
+    row = W.partitionBy("bin", "k", salt).orderBy(F.xxhash64("bin", "cls"))
+    agree = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.when((p == q) & (p >= 0), 1).otherwise(0)), F.lit(0), lambda t, v: t + v)
+    nexts = met.select(F.col("cls").alias("b"), F.lead("cls").over(row).alias("a"), "keys", F.lead("keys").over(row).alias("other")).where("a IS NOT NULL")
+    near = nexts.union(met.where("cls <> head").select("cls", "head", "keys", "head_keys")).select("b", "a", agree(F.col("keys"), F.col("other")).alias("n"))
+    near = store(near.where(F.col("n") >= AGREE).distinct())
+    asked = store(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct())
+    n_asked = asked.count()
+    bitmap = spark.sparkContext.broadcast(_bitmap(spark, asked.join(classes, "cls"), n_asked))
+    forget(crowd, met)
+    release(spark)
+    sets = store(docs.select(F.col(text), F.col(key).cast("string")).mapInArrow(_wanted(bitmap), "cls binary, s binary"))
+    if sets.count() > n_asked * 1.01 + 100:  # rows that repeat with their ids
+        sets = store(sets.dropDuplicates(["cls"]))
+    # the two best neighbours of each class first; then those that are still in other components
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.col("n").desc(), F.xxhash64("a", "b")))
+    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = store(_links(pair(near.withColumn("best", best).where("best <= 2")), sets).distinct())
+    release(spark)
+    tied = store(components(links).select("node", "component"))
+    end = lambda c: tied.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    rest = pair(near).join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    links = store(links.union(_links(rest, sets)).distinct())
+    forget(near, asked, sets, tied)
+    release(spark)
     comps = store(components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp")))
     # completion between components
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(PARTS_BITS + 5, int(total).bit_length()))
     named = lambda df: df.join(comps.select(F.col("cls").alias("_cls"), "comp"), F.col("cls") == F.col("_cls"), "left").withColumn("comp", F.coalesce("comp", "cls"))
-    entries = named(texts.mapInArrow(_prefixes, "cls binary, s binary")).select("comp", "s").mapInArrow(_entries, "part int, e binary")
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    pieces = entries.repartition(n_parts, "part").mapInArrow(_shared(bits), "part int, bits binary").collect()
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    width = 1 << (bits - PARTS_BITS - 3)
-    for p in pieces:
-        whole[p.part * width : (p.part + 1) * width] = np.frombuffer(p.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(whole)
-    found = texts.mapInArrow(_survivors(shared, bits), "cls binary, n long, keys array<long>, counts binary, s binary")
-    passed = store(named(found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "keys", "counts", "s")])).select("cls", "comp", "n", "keys", "counts", "s"))
-    spread = passed.select(F.explode("keys").alias("k"), "cls", "comp", "n", "counts")
-    per_key = store(
-        passed.select(F.explode("keys").alias("k"), "comp").groupBy("k").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        .select("k", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
-    )
-    met = spread.join(per_key, "k").withColumn("chunk", F.pmod(F.hash("cls"), F.col("chunks")))
-    met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("k", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "cls", "comp", "n", "counts")
-    pairs = met.repartition(n_parts, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_block_pairs, "a binary, b binary").distinct()
-    more = store(_links(store(pairs), passed.select("cls", "s")))
-    every = store(components(links.union(more)))
+    shared = _shared_slots(named(texts.mapInArrow(_prefixes, "cls binary, s binary")).select("comp", "s"), bits, False)
+    release(spark)
+    passed = store(named(texts.mapInArrow(_survivors(shared, bits), "cls binary, s binary")).select("cls", "comp", "s"))
+    release(spark)
+    again = _shared_slots(passed.select("comp", "s"), bits, True)
+    last = store(passed.mapInArrow(_finalists(again, bits), "cls binary, comp binary, n long, keys array<long>, counts binary, s binary").dropDuplicates(["cls"]))
+    forget(passed)
+    # blocks: components that share first shingles, directly or through others; large ones are cut into chunks, of one
+    # component where that is large, and chunks meet pairwise
+    by_key = last.select(F.explode("keys").alias("k"), "comp").distinct()
+    least = store(by_key.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("k", "x"))
+    block = store(components(by_key.join(least, "k").select(F.col("comp").alias("a"), F.col("x").alias("b"))).select(F.col("node").alias("_comp"), F.col("component").alias("block")))
+    ready = store(last.drop("keys").join(block, F.col("comp") == F.col("_comp")).drop("_comp"))
+    of_comp = store(ready.groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("m")))
+    of_block = store(ready.groupBy(F.col("block").alias("_block")).agg(F.count("*").alias("all")))
+    large = F.col("m") >= CHUNK
+    number = F.when(large, F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / CHUNK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("all") / CHUNK)))
+    chunk = F.xxhash64("block", F.when(large, F.col("comp")), number).alias("chunk")
+    ready = store(ready.join(of_comp, F.col("comp") == F.col("_comp")).join(of_block, F.col("block") == F.col("_block")).select("block", chunk, "cls", "comp", "n", "counts", "s"))
+    chunks = store(ready.groupBy("block", "chunk").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")))
+    other = chunks.select("block", *[F.col(c).alias(f"o_{c}") for c in ("chunk", "n0", "n1", "c0", "c1")])
+    meet = chunks.join(other, "block").where("chunk <= o_chunk AND 3 * n0 <= 4 * o_n1 AND 3 * o_n0 <= 4 * n1 AND NOT (c0 = c1 AND o_c0 = o_c1 AND c0 = o_c0)")
+    meet = store(meet.select(F.col("chunk").alias("one"), F.col("o_chunk").alias("two")))
+    sides = meet.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("chunk")).union(meet.where("one <> two").select("one", "two", F.lit(1), "two"))
+    sent = sides.join(ready, "chunk").select("one", "two", "side", "cls", "comp", "counts", "s")
+    more = store(sent.repartition(_parts(spark), "one", "two").sortWithinPartitions("one", "two", "side").mapInArrow(_block_links, "a binary, b binary").distinct())
+    joined = store(components(more).select(F.col("node").alias("_node"), F.col("component").alias("_joined")))
+    every = comps.union(joined.select("_node", "_node")).distinct().join(joined, F.col("comp") == F.col("_node"), "left")
+    every = every.select(F.col("cls").alias("node"), F.coalesce("_joined", "comp").alias("component"))
+    release(spark)
     # names: of a component's classes that with the smallest id stands for it
-    classes = store(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least")))
     in_group = store(every.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "least"))
     first = in_group.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("first"))
     grouped = in_group.join(first, "component").select(F.col("cls").alias("g"), "first")
