@@ -46,7 +46,7 @@ BINS = 8
 #: Bins in which neighbours have to agree, and the classes of a bin that are put in a row together.
 AGREE, SALTED = 4, 256
 #: Points in a chunk of a large block, and in a leaf of an R-tree.
-CHUNK, LEAF = 128, 16
+CHUNK, LEAF = 1024, 16
 #: Shared shingles are kept in a bitmap of 2**MOST_BITS bits at most; a fuller one only lets more sets through.
 MOST_BITS = 27
 PARTS_BITS = 9
@@ -224,7 +224,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ENTRY = np.dtype([("slot", "<u4"), ("low", "<u4"), ("high", "u1")])  # 32 further bits of the slot; five bytes of the component
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 
 
 def _entries(hashed: bool):
