@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, word_hashes
+from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, release, word_hashes
 
 BITS = 18
 GRADES = 3
 #: Rated documents to fit on, at most.
-MAX_ROWS = 16_000
+MAX_ROWS = 10_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1e-3
 #: Documents whose top grade is less likely than this are rejected.
@@ -89,7 +89,8 @@ class Model:
         for where, _ in rows:
             seen[where] += 1
         least = min(LEAST_DOCS, max(1, len(rows) // 50))
-        rows = [(where[seen[where] >= least], y) for where, y in rows]
+        for i, (where, y) in enumerate(rows):  # in place: the driver holds one copy
+            rows[i] = where[seen[where] >= least], y
         first, gap = -1.0, np.log(2.0)
 
         def at(where):
@@ -146,8 +147,12 @@ def train(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "d
 
     got = texts.mapInArrow(run, "features binary, grade int, h long").collect()
     got.sort(key=lambda r: (r.h, r.grade, r.features))
+    rows = [(np.frombuffer(r.features, "<i4"), r.grade) for r in got]
+    del got
     model = Model()
-    model.fit([(np.frombuffer(r.features, "<i4").astype(np.int64), r.grade) for r in got])
+    model.fit(rows)
+    del rows
+    release(docs.sparkSession)
     return model
 
 
