@@ -237,7 +237,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = store(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         forget(*([last] if last is not None else []), least, large, low)
         last, now = now, new
-        # done once every node hangs on one that hangs on nothing: each star's centre is its smallest node
+        # done once every node hangs on one alone, which hangs on nothing: each star's centre is its smallest node
+        if not now.groupBy("a").count().where("count > 1").isEmpty():
+            continue
         if now.select(F.col("b").alias("c")).join(now.select("a"), F.col("c") == F.col("a"), "left_semi").isEmpty():
             break
     else:

@@ -2,6 +2,7 @@
 empty tables, extra columns with clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -59,6 +60,35 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_components(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_components_of_nodes_with_two_parents(spark):
+    run = lambda edges: {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    for path in ((1, 3, 4, 5, 2), (2, 4, 3, 5, 1)):  # alone: other graphs would keep the loop going
+        assert run(list(zip(path, path[1:], strict=False))) == dict.fromkeys(range(1, 6), 1)
+    paths = [(10 * k + a, 10 * k + b) for k, p in enumerate(itertools.permutations(range(5))) for a, b in zip(p, p[1:], strict=False)]
+    assert run(paths) == plain_components(paths)
+    r = random.Random(6)
+    for n in (6, 8, 20):
+        trees = []
+        for k in range(60):
+            ids = r.sample(range(1000 * k, 1000 * k + 1000), n)
+            trees += [(ids[i], ids[r.randrange(max(0, i - 2), i)]) for i in range(1, n)]
+        assert run(trees) == plain_components(trees)
+
+
 # --- 1 ---
 
 
