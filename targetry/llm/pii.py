@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word-shape features, trained from a
 small labelled table and decoded by Viterbi in numpy batches.
 
-The field's labels are all marked by digits, `@` or `=`; it reads the windows of REACH words around each word that has
-one of these, and never a text without them. Its spans are checked (digits, Luhn, octets, mixture of characters) and
+What the field may find holds a digit, `@` or `=`, or else is an address that spells out `at` or `dot` (in brackets or
+not) or an IPv6 address of letters alone, with three colons or more; it reads the windows of REACH words around each word
+that has one of these, and never a text without them. Its spans are checked (digits, Luhn, octets, mixture of characters) and
 count where they don't overlap a pattern's span.
 
 Null texts count as empty: no spans. Repeated rows are searched each on its own. Places are in code points, the end
@@ -84,7 +85,7 @@ LABELLED = """
 please write to [email jane.doe@example.com] before friday
 contact [email bob99@mail.example.org] or call [phone +1 (415) 555-0132]
 reach me at [email jane (at) example (dot) com] any time
-mail [email info at example dot org 24] hours
+mail [email info at example dot org] 24 hours
 ask [email kim_lee@uni.example.edu] about the 12 papers
 my number is [phone (415) 555-0199] thanks
 phone [phone 415-555-0123] after 6 pm
@@ -152,7 +153,8 @@ iphone 15 and windows 11 cost 999
 equation e=mc2 dates from 1905
 """
 
-_MARK = re.compile(r"[0-9@=]")
+#: Letters before and after at and dot make other words of them.
+_MARK = re.compile(r"[0-9@=]|(?<![A-Za-z])(?:at|dot)(?![A-Za-z])|:[A-Fa-f]{0,4}:[A-Fa-f]{0,4}:")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _OPEN, _CLOSE = "([<{\"'", ".,;:!?)]>}\"'"
 FEATURE_BITS = 13
@@ -390,6 +392,28 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
 
 _NEEDED = np.zeros(256, bool)
 _NEEDED[48:58] = _NEEDED[ord("@")] = _NEEDED[ord("=")] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[65:91] = _LETTERS[97:123] = True
+
+
+def marks(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True for the bytes of texts (which begin at at) that may belong to a mark: none of _MARK's matches lacks one."""
+    out = _NEEDED[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    for word in (b"at", b"dot"):
+        k, n = len(word), len(raw) - len(word) + 1
+        if n <= 0:
+            continue
+        fits = raw[:n] == word[0]
+        for i in range(1, k):
+            fits &= raw[i : n + i] == word[i]
+        p = np.flatnonzero(fits)
+        p = p[edge[p] | ~_LETTERS[raw[p - 1]]]
+        out[p[edge[p + k] | ~_LETTERS[raw[np.minimum(p + k, len(raw) - 1)]]]] = True
+    colons = np.flatnonzero(raw == ord(":"))
+    out[colons[:-2][(np.diff(colons)[:-1] <= 5) & (np.diff(colons)[1:] <= 5)]] = True
+    return out
 
 
 def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -408,7 +432,7 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
             raw, at = flat_text(batch.column(k))
             rows = [empty] * batch.num_rows
             for i, j in blocks(at):
-                has = np.append(0, np.cumsum(_NEEDED[raw[at[i] : at[j]]], dtype=np.int64))[at[i : j + 1] - at[i]]
+                has = np.append(0, np.cumsum(marks(raw[at[i] : at[j]], at[i : j + 1] - at[i]), dtype=np.int64))[at[i : j + 1] - at[i]]
                 ask = [i + int(d) for d in np.flatnonzero(np.diff(has))]
                 for d, (base, spans) in zip(ask, find([raw[at[d] : at[d + 1]].tobytes().decode() for d in ask], field.value), strict=True):
                     counts = [sum(s[0] == kind for s in base) for kind in BASE]

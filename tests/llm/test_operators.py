@@ -410,6 +410,39 @@ def test_pii_field(spark):
     assert "<EMAIL>" in clean[10] and "bob" not in clean[10] and clean[11] == rows[1][1] and clean[1] is None
 
 
+def test_pii_field_reads_all_of_its_table(spark):
+    rows, want = [], {}
+    for k, (words, labels) in enumerate(pii.labelled()):
+        text, spans, i = " ".join(words), [], 0
+        starts = [sum(len(w) + 1 for w in words[:n]) for n in range(len(words))]
+        assert sum(len(w) for w in pii.windows(text)) == len(words), text
+        while i < len(words):
+            j = i + 1
+            if labels[i]:
+                while j < len(words) and labels[j] == labels[i] + 1:
+                    j += 1
+                spans.append((pii.LABELS[labels[i]][2:], starts[i], starts[j - 1] + len(words[j - 1])))
+            i = j
+        rows.append((k, text))
+        want[k] = spans
+    got = {r.doc_id: r.spans for r in pii.scan(table(spark, rows)).collect()}
+    for k, spans in want.items():
+        assert set(filter(None, pii.joined([s for s in spans if pii.sure(s[0], rows[k][1][s[1] : s[2]])]).split(","))) <= set(got[k].split(",")), rows[k]
+        assert all(s[0] != "email" or pii.joined([s]) in got[k] for s in spans), rows[k]
+    clean = pii.redact(table(spark, [(1, "reach me at jane (at) example (dot) com any time"), (2, "the of and")])).collect()
+    assert {r.text for r in clean} == {"reach me at <EMAIL> any time", "the of and"}
+
+
+def test_pii_marks_of_bytes_and_words_agree():
+    r = random.Random(2)
+    parts = ["at", "dot", "a", "t", "(at)", "[dot]", " ", " ", "é", ":", "fe:ab::cd", "that", "AT", "1", "@", "="]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 5))) for _ in range(4000)]
+    raw, at = common.flat_text(__import__("pyarrow").array(texts))
+    sums = np.append(0, np.cumsum(pii.marks(raw, at)))
+    for t, n in zip(texts, sums[at[1:]] - sums[at[:-1]], strict=True):
+        assert n or not pii.windows(t), t
+
+
 # --- 10 ---
 
 
