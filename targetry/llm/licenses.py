@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame and SQL functions only.
 
-A text that lacks all anchor words is left at once. Otherwise its lower-cased words are joined by single spaces, each
-rule whose keyword occurs is matched as a regular expression, and a detection is suppressed if one of at least its
+A text's words are joined by single spaces. If no rule's keyword begins a word there, the text is left at once. Otherwise
+each rule whose keyword does is matched as a regular expression on the lower-cased words, and a detection is suppressed if one of at least its
 priority contains its interval (of equal intervals with equal priority the first rule's stays).
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each on its own. Intervals are in
@@ -16,12 +16,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import WORD_PATTERN, WORD_PATTERN_LOWER
+from targetry.llm.common import WORD_PATTERN
 
 #: Phrases that always count wherever their words stand in a row, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Every rule and phrase needs one of these in the text (lower-cased).
-ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "permission is hereby", "redistribution and use", "creative commons", "copyleft", "warrant", "cc0", "spdx", "gpl", "unlicense")
 
 #: Families: label, names in words, versions. Names are fixed values: licenses as their texts call them.
 FAMILIES = (
@@ -124,6 +122,11 @@ def rules() -> Iterator[tuple[str, str, str, int, float]]:
 PRIORITIES = 8
 
 
+def openers(keywords: list[str]) -> list[str]:
+    """The keywords that begin with no other keyword: a text that has none of these has no keyword."""
+    return [k for k in keywords if not any(k != o and k.startswith(o) for o in keywords)]
+
+
 def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
@@ -137,18 +140,17 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     keywords = sorted({r[1] for r in table})
     number = {k: i for i, k in enumerate(keywords)}
     as_json = json.dumps([{"k": number[k], "x": f" (?:{x})(?= )", "p": p, "l": label, "c": c} for label, k, x, p, c in table])
-    low = F.lower(F.col(text))
+    # the gate: lower() may make ASCII letters of others, which only lets more texts through
+    joined = F.trim(F.regexp_replace(F.col(text), WORD_PATTERN.replace("[^", "["), " "))
+    out = docs.withColumn("_t", joined).withColumn("_low", F.concat(F.lit(" "), F.lower("_t"), F.lit(" ")))
     gate = F.lit(False)
-    for a in ANCHORS:
-        gate = gate | F.contains(low, F.lit(a))
-    gate = gate | F.col(text).rlike(r"(?i)cc[^0-9a-z]+by")
+    for k in openers(keywords):
+        gate = gate | F.contains(F.col("_low"), F.lit(f" {k}"))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out = docs.select(
-        "*",
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias(words),
-        F.when(gate, F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(f"({WORD_PATTERN_LOWER})"), 0)).alias("_w"),
-    )
-    out = out.withColumn("_j", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
+    out = out.withColumn(words, F.when(F.length("_t") > 0, F.expr(f"{_spaces('_t')} + 1")).otherwise(0).cast("long"))
+    out = out.withColumn("_j", F.when(gate, F.concat(F.lit(" "), F.translate("_t", upper, upper.lower()), F.lit(" ")))).drop("_t", "_low")
+    said = " OR ".join(f"contains(_j, ' {phrase} ')" for phrase, _ in PHRASES)
+    out = out.withColumn("_w", F.expr(f"CASE WHEN {said} THEN split(trim(_j), ' ') END"))
     places = []
     for phrase, label in PHRASES:
         own = phrase.split(" ")

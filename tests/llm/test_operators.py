@@ -370,6 +370,46 @@ def test_licenses(spark):
     assert len(list(licenses.rules())) > 200
 
 
+def least_example(pattern):
+    """A shortest text of the pattern: the first of alternatives, nothing that may be left out."""
+
+    def walk(tree):
+        out = ""
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif op == "MAX_REPEAT":
+                out += walk(arg[2]) * arg[0]
+            elif op == "BRANCH":
+                out += walk(arg[1][0])
+            else:
+                assert op == "SUBPATTERN", op
+                out += walk(arg[-1])
+        return out
+
+    return walk(re._parser.parse(pattern))
+
+
+def test_every_license_rule_passes_the_gate(spark):
+    table_ = list(licenses.rules())
+    rows = [(i, "x\n" + least_example(r[2]).replace(" ", "\n-").upper() + "! y") for i, r in enumerate(table_)]
+    got = {r.doc_id: r.found for r in licenses.scan(table(spark, rows)).collect()}
+    for i, (label, _, pattern, p, _) in enumerate(table_):
+        end = 1 + len(least_example(pattern).split(" "))
+        assert any(f.start <= 1 and f.end >= end and (f.label == label or f.priority >= p) for f in got[i]), rows[i]
+
+
+def test_licenses_without_usual_words(spark):
+    texts = {"released under Apache 2.0": "apache-2.0", "available under MPL 1.1 here": "mpl-1.1", "distributed under BSD": "bsd", "All rights\nreserved": "all-rights-reserved", "in the public\ndomain": "public-domain", "Creative-Commons zero": "cc0"}
+    texts["Permission to use, copy, modify, and/or distribute this software for any purpose"] = "isc"
+    rows = list(enumerate(texts))
+    for r in licenses.scan(table(spark, rows)).collect():
+        assert texts[r.text] in {f.label for f in r.found}, r.text
+
+
 # --- 9 ---
 
 
