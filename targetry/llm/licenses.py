@@ -93,7 +93,8 @@ _CC = (("by", "attribution"), ("nc", "non ?commercial"), ("sa", "share ?alike"),
 def rules() -> Iterator[tuple[str, str, str, int, float]]:
     """label, keyword, pattern, priority, confidence; earlier rules win ties.
 
-    A family gives for each name a grant, a title and an identifier, and each of them for each version once more.
+    A family gives for each name a grant, a title and an identifier, and each of them for each version once more. A title
+    without a version has to say license; the clauses of a version stand before or after the name.
     """
     for label, names, versions in FAMILIES:
         for name in names.split("|"):
@@ -102,13 +103,12 @@ def rules() -> Iterator[tuple[str, str, str, int, float]]:
                 own = label if v is None else f"{label}-{v.replace(' ', '.').replace('.clause', '-clause')}"
                 at = "" if v is None else f"(?: license)?(?: version)?(?: v)? {v}" if "clause" not in v else f" {v}"
                 if v is not None and "clause" in v:
-                    at, name_v = "", f"{v} {name}"
+                    at, name_v = "", f"(?:{v} {name}|{name}(?: license)? {v})"
                 else:
                     name_v = name
                 extra = 0 if v is None else 1
                 yield own, word, f"(?:licensed|released|distributed|available|published|provided) under(?: the terms of)?(?: the| an?)? {name_v}{at}(?: license)?(?: or later)?", 4 + extra, 1.0
-                if v is not None or len(name) > 5:
-                    yield own, word, f"{name_v}{at} license|the {name_v} license{at}" if v is None else f"{name_v}{at}(?: license)?", 2 + extra, 0.8
+                yield own, word, f"{name_v}{at} license|the {name_v} license{at}" if v is None else f"{name_v}{at}(?: license)?", 2 + extra, 0.8
         yield label, "spdx", f"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: or later| only)?", 6, 1.0
     for k in range(1, 1 << len(_CC)):
         parts = [c for i, c in enumerate(_CC) if k >> i & 1]

@@ -410,6 +410,12 @@ def test_licenses_without_usual_words(spark):
         assert texts[r.text] in {f.label for f in r.found}, r.text
 
 
+def test_license_titles(spark):
+    texts = {"MIT License": "mit", "The ISC License": "isc", "BSD License": "bsd", "BSD 3-Clause License": "bsd-3-clause", "3-clause BSD": "bsd-3-clause", "licensed under the BSD 2-Clause license": "bsd-2-clause", "BSD license, 4-clause": "bsd-4-clause"}
+    for r in licenses.scan(table(spark, list(enumerate([*texts, "mit der bsd und isc"])))).collect():
+        assert {f.label for f in r.found} >= {texts[r.text]} if r.text in texts else not r.found, r.text
+
+
 # --- 9 ---
 
 
