@@ -2,7 +2,8 @@
 check of each hit word by word, and the hit spans.
 
 Null texts have no words and are clean. An item of fewer words than the window is one window of all its words; an item
-without words matches nothing. Item ids may repeat: they are listed once. Empty tables give empty or clean results.
+without words matches nothing. Item ids may repeat: they are listed once. Items without an id count like the others: a
+text that holds any of them is hit and has one null among its items. Empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SET_BYTES = 32 << 20
 class Grams:
     """All windows of some items: hash -> words and items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.by_width: dict[int, dict[int, list[tuple[bytes, list[str]]]]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.by_width: dict[int, dict[int, list[tuple[bytes, list[str | None]]]]] = {}
         for item, text in items:
             raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             starts, ends, first = cut_words(raw, np.array([0, len(raw)]), WORD_BYTES)
@@ -52,13 +53,13 @@ class Grams:
             sieve[np.fromiter(table, U64, len(table)) & U64((1 << bits) - 1)] = True
             self.sieve[width] = sieve
 
-    def scan(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
+    def scan(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str | None]]]:
         """For each text: its number, its number of words, hit spans (first word, end; merged), items."""
         raw = LOWER[raw]
         starts, ends, first = cut_words(raw, at, WORD_BYTES)
         words, data = word_hashes(raw, starts, ends), None
         spans: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
+        items: dict[int, set[str | None]] = {}
         for width, table in self.by_width.items():
             hashes, where = window_hashes(words, first, width)
             sieve = self.sieve[width]
@@ -100,8 +101,8 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     docs = docs.drop(n_words, spans, held)
     out = docs.select("*", F.lit(0).cast("long").alias(n_words), F.lit(None).cast("array<bigint>").alias(spans), F.lit(None).cast("array<string>").alias(held))
     for k in range(passes):
-        part = named.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else named
-        grams = Grams([(r.item, r.text) for r in part.where("item IS NOT NULL").collect()], window)
+        part = named.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(passes)) == k) if passes > 1 else named
+        grams = Grams([(r.item, r.text) for r in part.collect()], window)
         shared = docs.sparkSession.sparkContext.broadcast(grams)
         out = out.mapInArrow(_scanner(shared, text, prefix), out.schema)
     pair = F.transform(F.sequence(F.lit(0), (F.size(spans) / 2 - 1).cast("int")), lambda i: F.struct(F.col(spans)[i * 2].alias("start"), F.col(spans)[i * 2 + 1].alias("end")))
@@ -124,7 +125,7 @@ def _scanner(shared, text: str, prefix: str):
                         found = merge([*found, *zip(before[::2], before[1::2], strict=True)])
                     n_words.append(n)
                     spans.append([x for s in found for x in s])
-                    items.append(sorted(held | set(old_items[i + doc].as_py() or [])))
+                    items.append(sorted(held | set(old_items[i + doc].as_py() or []), key=lambda x: (x is None, x or "")))
             new = {f"{prefix}n_words": pa.array(n_words, pa.int64()), f"{prefix}spans": pa.array(spans, pa.list_(pa.int64())), f"{prefix}items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
 

@@ -349,6 +349,25 @@ def test_decontamination(spark):
     assert decontam.scan(docs, table(spark, [], "item_id long, text string")).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_by_items_without_id(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from targetry.llm import queries
+
+    items = [(1, prose(25, 100)), (None, prose(25, 101)), (None, prose(25, 102))]
+    docs = table(spark, [(k, prose(20, 50 + k) + "".join(" " + items[i][1] for i in held)) for k, held in enumerate([(0,), (1,), (1, 2), (0, 2), ()])])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(queries.OP7_SQL).fetchall())
+    assert sorted(map(tuple, queries.op7_decontamination(spark, str(tmp_path)).collect())) == want
+    few = decontam.scan(docs, table(spark, items, "item_id long, text string"), set_bytes=100).collect()
+    assert {r.doc_id: (len(r["items"]), sum(s.end - s.start for s in r.spans)) for r in few} == {w[0]: (w[3], w[2]) for w in want}
+    left = {r.doc_id: r.text.strip() for r in decontam.decontaminate(docs, table(spark, items, "item_id long, text string"), most_hit=1.0).collect()}
+    assert left[1] == prose(20, 51) and left[4] == prose(20, 54)
+
+
 # --- 8 ---
 
 
