@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +65,14 @@ def forget(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs: it does so once the driver's objects for them are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def broadcast(spark: SparkSession, value: object) -> Iterator[Broadcast]:
+    """value on all executors until the block ends; what reads it has to be stored by then."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -559,16 +559,19 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard.join(table(spark, [])).count() == 0
 
 
-def test_jaccard_completion_alone(spark, monkeypatch):
-    """Without a star all links have to come from the blocks."""
-    monkeypatch.setattr(jaccard, "AGREE", 99)
+@pytest.mark.parametrize("frequent", [256, 2])
+def test_jaccard_between_components_alone(spark, monkeypatch, frequent):
+    """Without the blocks of the smallest shingles all links have to come from the trees of the components' leaves."""
+    monkeypatch.setattr(jaccard, "_tied", lambda sets: sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
     monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "QUERIES", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rows = near_rows()
     assert Counter(map(tuple, jaccard.join(table(spark, rows)).collect())) == Counter(plain_groups(rows))
 
 
 def test_deduplicate_keeps_one_of_each(spark):
-    rows = near_rows()
+    rows = [(d if d is None or k < len(near_rows()) - len(ODD) else d + 1000, t) for k, (d, t) in enumerate(near_rows())]  # no id in two groups
     kept = jaccard.deduplicate(table(spark, rows).withColumn("c", F.lit("x"))).collect()
     groups = plain_groups(rows)
     linked = [g for g in groups if g[1]]
@@ -592,7 +595,7 @@ def test_tree_bound_loses_nothing():
     counts, sizes = np.stack([jaccard.points(s) for s in sets]), np.array([len(s) for s in sets])
     tree = jaccard.Tree(counts, sizes)
     for i, s in enumerate(sets):
-        near = set(tree.near(counts[i], len(s)).tolist())
+        near = set(tree.near(counts[i], len(s))[0].tolist())
         for j, o in enumerate(sets):
             if jaccard.linked(s, o):
                 assert j in near
