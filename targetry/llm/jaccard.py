@@ -16,9 +16,9 @@ found without loss:
 3. Each set is put into the blocks of its KEYS smallest shared shingles, in pieces of CHUNK; a block's tree names the
    nearest points of each, which are verified. This ties most of a group of near copies without all its pairs.
 4. The components so far are the upper level of the index: they are cut into leaves of CHUNK sets, each with its
-   bounding box. A set is put to the boxes of every other component that has one of its keys (the smaller component
-   asks), then to the trees of the boxes that the bound lets through, where the pairs left are verified. So all links
-   between components are found, and pairs within one need no link.
+   bounding box. Each key has a tree over the boxes of the components that hold it, to which their sets are put (the
+   smaller component asks), then the trees of the leaves whose boxes let them through, where the pairs left are verified.
+   So all links between components are found, and pairs within one need no link.
 
 A key that many classes hold is counted ahead in the task and sent once; shingles that are frequent in one task are
 broadcast as such, HOT of them at most, and come last among the keys. No bucket is capped and no pair dropped. Links are
@@ -122,17 +122,19 @@ def points(s: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A packed R-tree over count vectors: leaves of LEAF points of like size, bounded by coordinate maxima."""
+    """A packed R-tree over count vectors, or over boxes of them with the range of their sizes: leaves of LEAF entries of
+    like size, bounded by coordinate maxima."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, most: np.ndarray | None = None):
         self.order = np.lexsort((counts[:, 0], sizes))
         self.counts, self.sizes = counts[self.order], sizes[self.order]
+        self.largest = self.sizes if most is None else most[self.order]
         self.first = np.arange(0, len(sizes), LEAF)
         self.top = np.maximum.reduceat(self.counts, self.first)
-        self.least, self.most = np.minimum.reduceat(self.sizes, self.first), np.maximum.reduceat(self.sizes, self.first)
+        self.least, self.most = np.minimum.reduceat(self.sizes, self.first), np.maximum.reduceat(self.largest, self.first)
 
     def near(self, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points whose bound reaches the overlap that 7 * overlap >= 3 * (size + size) asks for, and their bounds."""
+        """Entries whose bound reaches the overlap that 7 * overlap >= 3 * (size + size) asks for, and their bounds."""
         fits = (3 * size <= 4 * self.most) & (3 * self.least <= 4 * size)
         nodes = np.flatnonzero(fits)
         nodes = nodes[7 * np.minimum(self.top[nodes], counts).sum(1) >= 3 * (size + self.least[nodes])]
@@ -141,7 +143,7 @@ class Tree:
         at = (self.first[nodes][:, None] + np.arange(LEAF)).ravel()
         at = at[at < len(self.sizes)]
         own, bound = self.sizes[at], np.minimum(self.counts[at], counts).sum(1)
-        good = (3 * size <= 4 * own) & (3 * own <= 4 * size) & (7 * bound >= 3 * (size + own))
+        good = (3 * size <= 4 * self.largest[at]) & (3 * own <= 4 * size) & (7 * bound >= 3 * (size + own))
         return self.order[at[good]], bound[good]
 
 
@@ -446,13 +448,25 @@ def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BOX = (["comp", "leaf", "least", "most", "top"], [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
 
-def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cls, comp, leaf, n, counts, least, top): (cls, comp, leaf) where the leaf's box lets the set through."""
-    for batch in batches:
-        cls, comp, leaf, n, counts, least, top = batch.columns
-        flat = lambda c: np.frombuffer(b"".join(c.to_pylist()), "<i4").reshape(-1, GROUPS)
-        good = pa.array(7 * np.minimum(flat(counts), flat(top)).sum(1) >= 3 * (n.to_numpy() + least.to_numpy()), pa.bool_())
-        yield pa.RecordBatch.from_arrays([c.filter(good) for c in (cls, comp, leaf)], names=["cls", "comp", "leaf"])
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, box_no, set_no, cls, comp, m, leaf, n, most, counts), sorted; boxes first (cls null), then sets. A tree over
+    the boxes with key k names those that let a set through: (cls, comp, leaf). Smaller components ask larger ones."""
+    for _, rows in _runs(batches, 3):
+        boxes, tree, out = [], None, []
+        for cls, comp, m, leaf, n, most, counts in rows:
+            if cls is None:
+                boxes.append(((m, comp), leaf, n, most, _point(counts)))
+            elif boxes:
+                tree = tree or Tree(np.stack([b[4] for b in boxes]), np.array([b[2] for b in boxes]), np.array([b[3] for b in boxes]))
+                out += [(cls, boxes[j][0][1], boxes[j][1]) for j in tree.near(_point(counts), n)[0].tolist() if boxes[j][0] > (m, comp)]
+            if len(out) >= 4096:
+                yield _batch(out, *_ASK)
+                out = []
+        if out:
+            yield _batch(out, *_ASK)
+
+
+_ASK = (["cls", "comp", "leaf"], [pa.binary(), pa.binary(), pa.int64()])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,7 +538,8 @@ def _keyed(sets: DataFrame) -> DataFrame:
 
 def _tied(sets: DataFrame) -> DataFrame:
     """Links within the blocks of the smallest shared keys. Half of the blocks are cut by size, the others at random."""
-    place = F.when(F.col("k") % 2 == 0, F.col("n")).otherwise(F.xxhash64("k", "cls"))
+    mixed = F.xxhash64("k", "cls")
+    place = F.when(F.col("k") % 2 == 0, F.col("n") * (1 << 31) + F.pmod(mixed, F.lit(1 << 31))).otherwise(mixed)
     rows = sets.select(F.explode("least").alias("k"), "cls", "n", "counts", "s").withColumn("place", place)
     many = rows.groupBy(F.col("k").alias("many")).count().where("count > 1").select("many")
     rows = rows.join(many, F.col("k") == F.col("many"), "left_semi")
@@ -539,24 +554,27 @@ def _between(sets: DataFrame, tied: DataFrame) -> DataFrame:
     count = named.groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("m"))
     leaf = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / CHUNK)).alias("leaf")
     named = store(named.join(count, F.col("comp") == F.col("_comp")).select("cls", "comp", "m", leaf, "n", "keys", "counts"))
-    # which sets ask which components
-    rows = named.select(F.explode("keys").alias("k"), "cls", "comp", "m")
-    mixed = rows.groupBy(F.col("k").alias("mixed")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("mixed")
+    # boxes and sets of each key that several components hold; what holds the key in its largest component needn't ask
+    rows = named.select(F.explode("keys").alias("k"), "cls", "comp", "m", "leaf")
+    rank = F.struct("m", "comp")
+    mixed = rows.groupBy(F.col("k").alias("mixed")).agg(F.min(rank).alias("x"), F.max(rank).alias("y"), F.count("*").alias("size")).where("x <> y").select("mixed", F.col("y.comp").alias("largest"), "size")
     rows = store(rows.join(mixed, F.col("k") == F.col("mixed")).drop("mixed"))
-    owners = rows.select(F.col("k").alias("_k"), F.col("comp").alias("other"), F.col("m").alias("_m")).distinct()
-    larger = (F.col("_m") > F.col("m")) | ((F.col("_m") == F.col("m")) & (F.col("other") > F.col("comp")))
-    asks = rows.join(owners, (F.col("k") == F.col("_k")) & larger).select("cls", "other").distinct()
-    # whom the boxes let through
     boxes = _dealt(named.select("comp", "leaf", "n", "counts"), "comp", "leaf").mapInArrow(_boxes, "comp binary, leaf long, least long, most long, top binary")
+    held = rows.select("k", F.col("comp").alias("_comp"), "m", F.col("leaf").alias("_leaf"), "size").distinct()
+    pieces = F.ceil(F.col("size") / CHUNK)
+    each = F.sequence(F.lit(0).cast("long"), pieces - 1)
+    none, far = F.lit(None).cast("binary"), F.lit(None).cast("long")
+    held = held.join(boxes, (F.col("_comp") == F.col("comp")) & (F.col("_leaf") == F.col("leaf"))).withColumn("box_no", F.pmod(F.xxhash64("comp", "leaf"), pieces))
+    held = held.select("k", "box_no", F.explode(each).alias("set_no"), none.alias("cls"), "comp", "m", "leaf", F.col("least").alias("n"), "most", F.col("top").alias("counts"))
     own = named.select(F.col("cls").alias("_cls"), "n", "counts")
-    asks = asks.join(own, F.col("cls") == F.col("_cls")).join(boxes, F.col("other") == F.col("comp")).where("3 * n <= 4 * most AND 3 * least <= 4 * n")
-    asks = store(asks.select("cls", "comp", "leaf", "n", "counts", "least", "top").mapInArrow(_fitting, "cls binary, comp binary, leaf long"))
+    asks = rows.where("comp <> largest").join(own, F.col("cls") == F.col("_cls")).withColumn("set_no", F.pmod(F.xxhash64("cls"), pieces))
+    asks = asks.select("k", F.explode(each).alias("box_no"), "set_no", "cls", "comp", "m", "leaf", "n", far.alias("most"), "counts")
+    asks = store(_dealt(held.union(asks), "k", "box_no", "set_no", then=("cls",)).mapInArrow(_meeting, "cls binary, comp binary, leaf long").distinct())
     # the leaves' sets, for each portion of their queries, and the queries
     salts = asks.groupBy(F.col("comp").alias("_comp"), F.col("leaf").alias("_leaf")).agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
     held = sets.select(F.col("cls").alias("_cls"), "s")
     facts = named.select(F.col("cls").alias("_of"), F.col("comp").alias("own"), "n", "counts")
     at = (F.col("comp") == F.col("_comp")) & (F.col("leaf") == F.col("_leaf"))
-    none = F.lit(None).cast("binary")
     inside = named.join(salts, at).join(held, F.col("cls") == F.col("_cls")).select("comp", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), none.alias("own"), "n", "counts", "s")
     salt = F.pmod(F.xxhash64("cls"), F.col("salts"))
     outside = asks.join(salts, at).join(facts, F.col("cls") == F.col("_of")).join(held, F.col("cls") == F.col("_cls")).select("comp", "leaf", salt.alias("salt"), "own", "n", "counts", "s")
