@@ -1,4 +1,4 @@
-"""Merkle hashes over a dependency graph, level by level; roots; reachability."""
+"""Merkle hashes over a dependency graph, level by level, cycles by walks; roots; reachability."""
 
 from __future__ import annotations
 
@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from targetry.functions.labels import can_be_root
+from targetry.operators.components import components
 from targetry.operators.diff import edges
 from targetry.sources.tables import store
 
-#: Nodes that reach a cycle and are hashed by one task; more is an error, not a cut.
-MOST_RESIDUAL = 2_000_000
-
 
 def roots(targets: DataFrame) -> DataFrame:
     """name of what nothing depends on and what may be a root."""
@@ -23,6 +21,24 @@ def roots(targets: DataFrame) -> DataFrame:
     return targets.where(can_be_root(F.col("rule_type"))).join(used, "name", "left_anti").select("name")
 
 
+def topological_roots(targets: DataFrame) -> DataFrame:
+    """name of what nothing depends on, whatever its type."""
+    return targets.select("name").join(edges(targets).select(F.col("dst").alias("name")), "name", "left_anti")
+
+
+def unreached(targets: DataFrame, roots: DataFrame) -> DataFrame:
+    """name of targets that no root leads to: cycles without one, and what only they lead to. They count as roots."""
+    return targets.select("name").join(dependencies_of(targets, roots), "name", "left_anti")
+
+
+def topological_order(targets: DataFrame) -> DataFrame:
+    """name, level: dependencies have lower levels; what reaches a cycle has none. Sorted by level and name."""
+    links = edges(targets).join(targets.select(F.col("name").alias("dst")), "dst", "left_semi")
+    plain = targets.select("name", F.encode("name", "utf-8").alias("own"), F.lit(None).cast("string").alias("fixed"))
+    levels, rest = hash_levels(plain, links)
+    return levels.select("name", "level").union(rest.select("name", F.lit(None).cast("int"))).orderBy(F.col("level").asc_nulls_last(), "name")
+
+
 def in_degree(targets: DataFrame) -> DataFrame:
     return edges(targets).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("in_degree"))
 
@@ -57,35 +73,33 @@ def dependents_of(targets: DataFrame, start: DataFrame) -> DataFrame:
 def hash_levels(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, hash, level) of all that can be hashed bottom-up, and names of the rest (what reaches a cycle).
 
-    nodes: name, own (binary to hash first), fixed (a hash that is given, hex or empty; null if it is to be computed).
-    links: src, dst, ord. A fixed node doesn't wait for its dependencies. hash = sha1(own, then the dependencies' hashes
-    in order of name, repeats included), hex. A level joins its edges to the level below alone; what a node has
-    gathered so far stays in the shared folder.
+    nodes: name, own (binary to hash first; null: the hash is that of the only dependency), fixed (a hash that is given,
+    hex or empty; null if it is to be computed). links: src, dst, ord. A fixed node doesn't wait for its dependencies.
+    hash = sha1(own, then the dependencies' hashes in order of name, repeats included), hex. A level joins the edges to
+    the level below alone and groups the targets that got something from it; what they wait with is carried along.
     """
     given = store(nodes.where("fixed IS NOT NULL").select("name", F.col("fixed").alias("hash"), F.lit(0).alias("level")))
-    open_ = store(nodes.where("fixed IS NULL").select("name", "own"))
-    ask = store(links.join(open_.select(F.col("name").alias("src")), "src"))
-    want = store(open_.join(ask.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n")), "name", "left").select("name", "own", F.coalesce("n", F.lit(0)).alias("n")))
-    first = store(want.where("n = 0").select("name", F.sha1("own").alias("hash"), F.lit(0).alias("level")))
-    done, got, level = [given, first], [], 0
-    newest = given.union(first)
+    open_ = nodes.where("fixed IS NULL").select("name", "own")
+    ask = store(links.join(open_.select(F.col("name").alias("src")), "src").select("src", "dst", "ord"))
+    want = open_.join(ask.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n")), "name", "left")
+    want = store(want.select("name", "own", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+    first = want.where("n = 0").select("name", F.coalesce(F.sha1("own"), F.lit("")).alias("hash"), F.lit(0).alias("level"))
+    waits = want.where("n > 0")
+    done, state, newest, level = [given, first], None, given.union(first), 0
     while True:
         level += 1
-        step = store(ask.join(newest.select(F.col("name").alias("dst"), "hash"), "dst").select("src", "dst", "ord", "hash"))
-        if step.isEmpty():
-            break
-        got.append(step)
-        every = got[0]
-        for g in got[1:]:
-            every = every.union(g)
-        full = every.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("k")).join(want, "name").where("k = n").select("name", "own")
-        hashed = done[0].select("name")
-        for d in done[1:]:
-            hashed = hashed.union(d.select("name"))
-        ready = store(full.join(hashed, "name", "left_anti"))
-        deps = every.join(ready.select(F.col("name").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("name"))
-        folded = deps.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", "ord", "hash"))), lambda x: x["hash"]), "").alias("below"))
-        newest = store(ready.join(folded, "name").select("name", F.sha1(F.concat("own", F.unhex("below"))).alias("hash"), F.lit(level).alias("level")))
+        step = ask.join(newest.select(F.col("name").alias("dst"), "hash"), "dst").select(F.col("src").alias("name"), F.struct("dst", "ord", "hash").alias("part"))
+        parts = step.groupBy("name").agg(F.collect_list("part").alias("parts"))
+        now = waits.join(parts, "name")
+        if state is not None:  # those that waited already, also if nothing came
+            held = state.where("hash IS NULL").select("name", F.col("parts").alias("held"))
+            now = waits.join(parts, "name", "left").join(held, "name", "left").where("parts IS NOT NULL OR held IS NOT NULL")
+            none = F.array().cast(parts.schema["parts"].dataType)
+            now = now.withColumn("parts", F.concat(F.coalesce("held", none), F.coalesce("parts", none))).drop("held")
+        below = F.array_join(F.transform(F.array_sort("parts"), lambda x: x["hash"]), "")
+        hash_ = F.when(F.size("parts") == F.col("n"), F.when(F.col("own").isNull(), F.array_sort("parts")[0]["hash"]).otherwise(F.sha1(F.concat("own", F.unhex(below)))))
+        state = store(now.select("name", hash_.alias("hash"), F.when(hash_.isNull(), F.col("parts")).alias("parts"), "own", "n"))
+        newest = state.where("hash IS NOT NULL").select("name", "hash", F.lit(level).alias("level"))
         if newest.isEmpty():
             break
         done.append(newest)
@@ -95,37 +109,80 @@ def hash_levels(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return out, nodes.select("name").join(out.select("name"), "name", "left_anti")
 
 
+def core_of(links: DataFrame, names: DataFrame) -> DataFrame:
+    """names that stay if those without a dependent among them go, again and again: cycles, and what lies between them."""
+    left = store(names.select("name"))
+    inner = store(links.join(left.select(F.col("name").alias("src")), "src").join(left.select(F.col("name").alias("dst")), "dst").select("src", "dst"))
+    while True:
+        used = store(inner.select(F.col("dst").alias("name")).distinct())
+        inner = store(inner.join(used.select(F.col("name").alias("src")), "src", "left_semi"))
+        if used.count() == left.count():
+            return left
+        left = used
+
+
 def hash_graph(targets: DataFrame, sequential: tuple[str, ...] = ()) -> DataFrame:
     """name, hash of all targets, cycles included.
 
-    targets: name, own, fixed, deps, rule_type. What can't be hashed bottom-up is walked depth first in a single task:
-    sequential targets in order, then roots by name, then the rest by name; a target that is met while it is being
-    hashed counts as an empty hash.
+    targets: name, own, fixed, deps, rule_type. Cycles are walked depth first: sequential targets in order, then roots by
+    name, then the rest by name; a target that is met while it is being hashed counts as an empty hash. A walk takes a
+    connected part of cycles and what lies between them, with those roots alone that are the first to lead to one of its
+    members (and the way from there), since they fix where it is entered. What merely leads to a cycle is hashed level by
+    level again.
     """
     links = edges(targets).join(targets.select(F.col("name").alias("dst")), "dst", "left_semi")
     levels, rest = hash_levels(targets.select("name", "own", "fixed"), links)
     rest = store(rest)
-    n = rest.count()
-    if not n:
+    if rest.isEmpty():
         return levels.select("name", "hash")
-    if n > MOST_RESIDUAL:
-        raise ValueError(f"{n} targets reach a cycle; {MOST_RESIDUAL} are the most")
-    levels = store(levels)
-    used = links.select(F.col("dst").alias("name")).distinct().withColumn("used", F.lit(True))
-    inner = links.join(rest.select(F.col("name").alias("src")), "src").join(levels.select(F.col("name").alias("dst"), "hash"), "dst", "left")
-    below = inner.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_list(F.struct("dst", "ord", "hash"))).alias("below"))
-    rows = rest.join(targets.select("name", "own", "rule_type"), "name").join(below, "name", "left").join(used, "name", "left")
-    rows = rows.select("name", "own", F.col("below.dst").alias("dst"), F.col("below.hash").alias("dst_hash"), (F.col("used").isNull() & can_be_root(F.col("rule_type"))).alias("root"))
-    walked = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda frame: _walk(frame, sequential), "name string, hash string")
-    return levels.select("name", "hash").union(walked)
-
-
-def _walk(frame: pd.DataFrame, sequential: tuple[str, ...]) -> pd.DataFrame:
+    levels = store(levels.select("name", "hash"))
+    inner = store(links.join(rest.select(F.col("name").alias("src")), "src").join(rest.select(F.col("name").alias("dst")), "dst").select("src", "dst", "ord"))
+    core = store(core_of(inner, rest))
+    starts = _starts(targets, links, inner, rest, core, sequential)
+    # the parts to walk: the core and what leads into it from the starts
+    way = reach(inner.select(F.col("src").alias("a"), F.col("dst").alias("b")), starts.select("name"))
+    members = store(way.union(core).distinct())
+    inside = inner.join(members.select(F.col("name").alias("src")), "src").join(members.select(F.col("name").alias("dst")), "dst")
+    parts = components(inside.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    parts = members.join(parts.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("component", "name").alias("part"))
+    below = links.join(members.select(F.col("name").alias("src")), "src").join(levels.select(F.col("name").alias("dst"), "hash"), "dst", "left")
+    below = below.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_list(F.struct("dst", "ord", "hash"))).alias("below"))
+    rows = parts.join(targets.select("name", "own"), "name").join(below, "name", "left").join(starts, "name", "left")
+    rows = rows.select("part", "name", "own", F.col("below.dst").alias("dst"), F.col("below.hash").alias("dst_hash"), "rank")
+    walked = store(rows.groupBy("part").applyInPandas(_walk, "name string, hash string"))
+    known = levels.union(walked)
+    open_ = rest.join(walked.select("name"), "name", "left_anti")
+    if open_.isEmpty():
+        return known
+    nodes = targets.select("name", "own").join(known.withColumnRenamed("hash", "fixed"), "name", "left").select("name", "own", "fixed")
+    return hash_levels(nodes, links)[0].select("name", "hash")
+
+
+def _starts(targets: DataFrame, links: DataFrame, inner: DataFrame, rest: DataFrame, core: DataFrame, sequential: tuple[str, ...]) -> DataFrame:
+    """name, rank: sequential targets (0) and, for each way into the core, the first root that leads there (1)."""
+    used = links.select(F.col("dst").alias("name")).distinct()
+    root = rest.join(used, "name", "left_anti").select("name")
+    listed = rest.where(F.col("name").isin(list(sequential))).select("name", F.lit(0).alias("rank"))
+    # the least root over each target that isn't in the core, from the roots down
+    upper = rest.join(core, "name", "left_anti")
+    down = store(inner.join(upper.select(F.col("name").alias("src")), "src").select("src", "dst"))
+    best = store(root.select("name", F.col("name").alias("root")))
+    news = best
+    while not news.isEmpty():
+        got = down.join(news.select(F.col("name").alias("src"), "root"), "src").groupBy(F.col("dst").alias("name")).agg(F.min("root").alias("new"))
+        news = store(got.join(best, "name", "left").where("root IS NULL OR new < root").select("name", F.col("new").alias("root")))
+        best = store(best.union(news).groupBy("name").agg(F.min("root").alias("root")))
+    first = best.join(core, "name", "left_semi").select(F.col("root").alias("name")).distinct()
+    return store(listed.union(first.select("name", F.lit(1).alias("rank"))).groupBy("name").agg(F.min("rank").alias("rank")))
+
+
+def _walk(frame: pd.DataFrame) -> pd.DataFrame:
     own = dict(zip(frame["name"], frame["own"], strict=True))
     below = {n: list(zip(d, h, strict=True)) if d is not None else [] for n, d, h in zip(frame["name"], frame["dst"], frame["dst_hash"], strict=True)}
-    order = [*sorted(s for s in sequential if s in own), *sorted(frame["name"][frame["root"]]), *sorted(own)]
+    ranked = frame[frame["rank"].notna()]
+    order = [*sorted(zip(ranked["rank"], ranked["name"], strict=True)), *((2, n) for n in sorted(own))]
     done: dict[str, bytes] = {}
-    for start in order:
+    for _, start in order:
         if start in done:
             continue
         busy = {start}
@@ -141,8 +198,10 @@ def _walk(frame: pd.DataFrame, sequential: tuple[str, ...]) -> pd.DataFrame:
                     busy.add(dst)
                     stack.append((dst, iter(below[dst]), []))
                     break
+                else:
+                    parts.append(b"")
             else:
-                done[name] = hashlib.sha1(bytes(own[name]) + b"".join(parts)).digest()
+                done[name] = b"".join(parts) if own[name] is None else hashlib.sha1(bytes(own[name]) + b"".join(parts)).digest()
                 busy.discard(name)
                 stack.pop()
                 if stack:

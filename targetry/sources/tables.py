@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_stored: set[tuple[SparkSession, str]] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +25,35 @@ def store(df: DataFrame) -> DataFrame:
     """df written as Parquet and read again: cuts the lineage of a loop and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/targetry-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored.add((df.sparkSession, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._targetry_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_targetry_path", None)
+        if path:
+            delete(df.sparkSession, path)
+            _stored.discard((df.sparkSession, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in list(_stored):
+        try:
+            delete(spark, path)
+        except Exception:  # the session may be gone
+            return

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from targetry.functions import canonical, keys, labels, sizes
+from targetry.functions import keys, labels, sizes
 from targetry.operators import changes, diff, merkle, snapshots
 
 SCHEMA = "name string, hash string, rule_type string, deps array<string>, attributes map<string,string>"
@@ -111,16 +111,6 @@ def test_labels(spark):
     assert list(r) == ["//a/b:c", "d", "a/b", "repo", "//external:repo", "//a/b:c", "//:top", "", ["a/b", "a", ""]]
 
 
-def test_canonical_encoding():
-    assert canonical.field("name", canonical.STRING, b"x") == b"\x04name\x02\x01\x01x"
-    assert canonical.field("name", canonical.STRING, None) == b"\x04name\x02\x00"
-    base = {"name": "//a:b", "attributes": [{"name": "x", "string_value": "v"}]}
-    moved = {**base, "attributes": [{"name": "generator_location", "string_value": "line 1"}, *base["attributes"]]}
-    assert canonical.rule(base) == canonical.rule(moved)
-    assert canonical.rule(base) != canonical.rule({**base, "attributes": [{"name": "x", "string_value": ""}]})
-    assert canonical.rule({"name": "a", "rule_input": ["b", "a"]}) == canonical.rule({"name": "a", "rule_input": ["a", "b"]})
-
-
 def test_chunks():
     got = list(sizes.chunks([3, 3, 9, 1], lambda x: x, 6))
     assert got == [[3, 3], [9], [1]]
