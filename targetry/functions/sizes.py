@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,17 +32,13 @@ def target_size(id_: Column, hash_: Column, deps: Column, rule_type: Column, tag
     return number_field(id_) + bytes_field(F.octet_length(hash_)) + packed_field(deps) + number_field(rule_type) + packed_field(tags) + flags
 
 
-def chunks(rows: Iterable, size, most: int) -> Iterator[list]:
-    """Greedy: a new chunk begins where the next row would exceed most; a larger row is a chunk of its own; no rows
-    give one empty chunk. rows may be a lazy iterator over a DataFrame."""
-    now: list = []
-    total, any_ = 0, False
-    for r in rows:
-        n = size(r)
-        if now and total + n > most:
-            yield now
-            now, total, any_ = [], 0, True
-        now.append(r)
-        total += n
-    if now or not any_:
-        yield now
+def changed_size(change_type: Column, before: Column, after: Column, distance: Column) -> Column:
+    """before, after: sizes of the encoded targets, null for none; change_type: the number of the type."""
+    nested = lambda n: F.when(n.isNull(), F.lit(0).cast("long")).otherwise(1 + varint_size(n) + n)
+    return number_field(change_type) + nested(before) + nested(after) + number_field(distance)
+
+
+def map_entry_size(key: Column, length: Column) -> Column:
+    """An entry of a dictionary from numbers to texts of length bytes: both fields are always there."""
+    entry = 1 + varint_size(key) + 1 + varint_size(length) + length
+    return 1 + varint_size(entry) + entry

@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from targetry.functions import canonical, keys, labels, sizes
-from targetry.operators import changes, dictionaries, diff, incremental, merkle, snapshots
-from targetry.plans import fixtures
+from targetry.functions import keys, labels, sizes
+from targetry.operators import build, changes, dictionaries, diff, incremental, merkle, snapshots
+from targetry.plans import builds, fixtures, registry
+from targetry.plans.registry import Query, query
 from targetry.sources.tables import store
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
 
 
 def _sql(body: str, more: str = "", recursive: bool = False) -> str:
@@ -227,9 +210,23 @@ def incremental_vs_full(spark, sf_dir):
     return both.agg(F.count("*").alias("n_targets"), F.count_if(~F.col("h").eqNullSafe(F.col("hash"))).alias("n_differ"))
 
 
-@query()
+_RING = """
+w AS MATERIALIZED (SELECT kind, k, name, sha1(concat_ws('|', name, rule_type, own, tier)) AS w FROM n),
+x0 AS MATERIALIZED (SELECT name, sha1(unhex(w)) AS hash FROM w WHERE kind IN ('region', 'part', 'line')),
+used AS (SELECT DISTINCT dst FROM e),
+start AS (SELECT arg_min(c_nationkey, name) AS k FROM (SELECT concat('//customer/', c_custkey, ':lib') AS name, c_nationkey FROM customer
+  UNION ALL SELECT concat('//orders/', o_orderkey, ':order'), c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey) WHERE name NOT IN (SELECT dst FROM used)),
+base AS MATERIALIZED (SELECT w.k, w.name, w.w, x0.hash AS region FROM w JOIN e ON e.src = w.name JOIN x0 ON x0.name = e.dst WHERE w.kind = 'nation'),
+ring AS (SELECT b.k, b.name, sha1(unhex(b.w || b.region)) AS hash, 1 AS i FROM base b, start s WHERE b.k = (s.k + 24) % 25
+  UNION ALL SELECT b.k, b.name, sha1(unhex(b.w || r.hash || b.region)), i + 1 FROM ring r JOIN base b ON b.k = (r.k + 24) % 25 WHERE i < 25),
+x1 AS MATERIALIZED (SELECT name, hash FROM ring UNION ALL SELECT * FROM x0),
+x2 AS MATERIALIZED (SELECT * FROM x1 UNION ALL SELECT w.name, sha1(unhex(w.w || string_agg(h.hash, '' ORDER BY e.dst))) FROM w JOIN e ON e.src = w.name JOIN x1 h ON h.name = e.dst WHERE w.kind IN ('customer', 'supplier') GROUP BY w.name, w.w),
+x3 AS (SELECT * FROM x2 UNION ALL SELECT w.name, sha1(unhex(w.w || string_agg(h.hash, '' ORDER BY e.dst))) FROM w JOIN e ON e.src = w.name JOIN x2 h ON h.name = e.dst WHERE w.kind = 'order' GROUP BY w.name, w.w)"""
+
+
+@query(_sql("SELECT name, hash FROM x3", _RING, True))
 def cycle_hash(spark, sf_dir):
-    """The graph with nations of a region tied into a ring; rings are hashed depth first from the roots."""
+    """The graph with all nations tied into a ring, which is walked from where the first root leads to."""
     t = store(fixtures.graph(spark, sf_dir))
     nation = t.where("kind = 'nation'").select("k", "name")
     ring = nation.select("name", F.concat(F.lit("//nation/"), (F.col("k") + 1) % 25, F.lit(":lib")).alias("extra"))
@@ -237,15 +234,18 @@ def cycle_hash(spark, sf_dir):
     return merkle.hash_graph(store(tied))
 
 
-@query(_sql("SELECT name, CASE WHEN k % 3 = 0 THEN sha1(unhex(sha1('repo' || CAST(k % 7 AS VARCHAR)))) END AS hash, CASE WHEN k % 3 = 0 THEN '@@repo' || CAST(k % 7 AS VARCHAR) || name WHEN k % 3 = 1 THEN '@lib' || CAST(k % 5 AS VARCHAR) || name ELSE name END AS label FROM n WHERE kind = 'part'"))
+@query(_sql("SELECT CASE WHEN k % 3 = 0 THEN '@@repo' || CAST(k % 7 AS VARCHAR) || '+' ELSE '@lib' || CAST(k % 5 AS VARCHAR) END || name AS name, sha1(unhex(sha1('repo' || CAST(CASE WHEN k % 3 = 0 THEN k % 7 ELSE k % 5 END AS VARCHAR) || '+'))) AS hash FROM n WHERE kind = 'part' AND (k % 3 = 0 AND k % 7 <> 6 OR k % 3 = 1 AND k % 5 < 3) AND k % 11 <> 0"))
 def repo_collapse(spark, sf_dir):
-    """Files of canonical repositories take the hash of their repository's marker; names without one are left alone."""
+    """Files of other repositories take the hash of their repository's marker, by canonical name or through the mapping.
+    One repository is hashed file by file, some files are excluded, some apparent names have no marker."""
     t = fixtures.graph(spark, sf_dir).where("kind = 'part'")
     k = F.col("k")
-    label = F.when(k % 3 == 0, F.concat(F.lit("@@repo"), (k % 7).cast("string"), F.col("name"))).when(k % 3 == 1, F.concat(F.lit("@lib"), (k % 5).cast("string"), F.col("name"))).otherwise(F.col("name"))
-    markers = t.select(F.concat(F.lit("repo"), (k % 7).cast("string")).alias("repo")).distinct().withColumn("marker", F.sha1(F.col("repo").cast("binary")))
-    named = t.select("name", label.alias("label"), labels.canonical_repo(label).alias("repo"))
-    return named.join(markers, "repo", "left").select("name", F.sha1(F.unhex("marker")).alias("hash"), "label")
+    label = F.when(k % 3 == 0, F.concat(F.lit("@@repo"), (k % 7).cast("string"), F.lit("+"), F.col("name"))).when(k % 3 == 1, F.concat(F.lit("@lib"), (k % 5).cast("string"), F.col("name"))).otherwise(F.col("name"))
+    label = F.when(k % 11 == 0, F.concat(label, F.lit(".skip"))).otherwise(label)
+    n = spark.range(7).select(F.concat(F.lit("repo"), F.col("id").cast("string"), F.lit("+")).alias("repo"), F.col("id").cast("string").alias("d"))
+    markers = n.select("repo", F.sha1("repo").alias("marker"))
+    mapping = n.where("d < 5").select(F.concat(F.lit("lib"), "d").alias("apparent"), F.when(F.col("d") < 3, F.col("repo")).otherwise(F.concat(F.lit("no"), "repo")).alias("canonical"))
+    return build.collapsed(t.select(label.alias("name"), "rule_type"), markers, mapping, whole_repos=("repo6+",), excluded=("[.]skip$",))
 
 
 # --- dictionaries, chunks, encodings ---
@@ -361,19 +361,4 @@ def block_cuts_natural(spark, sf_dir):
     return fixtures.graph(spark, sf_dir).select("name", F.coalesce(F.sum((F.md5(name) < "4").cast("long")).over(w), F.lit(0)).cast("long").alias("block"))
 
 
-@query()
-def canonical_rule_hash(spark, sf_dir):
-    """SHA-1 of each order's definition as a rule with a name, a class, one attribute and its inputs."""
-    t = fixtures.graph(spark, sf_dir).where("kind = 'order'")
-    attributes = F.from_json(F.to_json(F.array(F.struct(F.lit("tier").alias("name"), F.lit("STRING").alias("type"), F.col("attributes")["tier"].alias("string_value")))), f"array<{canonical.ATTRIBUTE_TYPE}>")
-    none = F.array().cast("array<string>")
-    rule = F.struct("name", F.col("rule_type").alias("rule_class"), attributes.alias("attributes"), F.col("deps").alias("rule_input"), none.alias("rule_output"), none.alias("default_setting"), F.lit(None).cast("string").alias("skylark_env_hash"))
-    return t.select("name", F.lower(F.hex(canonical.rule_hash_udf(rule))).alias("hash"))
-
-
-@query()
-def greedy_chunks(spark, sf_dir):
-    """Orders by key in response chunks of at most 64 kB; chunk sizes are decided row by row on the driver's iterator."""
-    rows = row_wire_size(spark, sf_dir).orderBy("l_orderkey")
-    found = [(i, len(c), sum(r.n_bytes for r in c)) for i, c in enumerate(sizes.chunks(rows.toLocalIterator(), lambda r: r.n_bytes, 65_536))]
-    return spark.createDataFrame(found, "chunk_no long, n_rows long, n_bytes long")
+builds.register_responses(_sql, _DIFF)

@@ -91,14 +91,14 @@ def sql_tables() -> str:
 
     def levels(p: str, n: str, e: str) -> str:
         kinds = (("nation",), ("customer", "supplier"), ("order",), ("extra",))
-        out = f"{p}w AS (SELECT kind, name, rule_type, tier, {own} AS w FROM {n}), {p}0 AS (SELECT name, sha1(unhex(w)) AS hash FROM {p}w WHERE kind IN ('region', 'part', 'line')), "
+        out = f"{p}w AS MATERIALIZED (SELECT kind, name, rule_type, tier, {own} AS w FROM {n}), {p}0 AS MATERIALIZED (SELECT name, sha1(unhex(w)) AS hash FROM {p}w WHERE kind IN ('region', 'part', 'line')), "
         for i, k in enumerate(kinds):
             which = ", ".join(f"'{x}'" for x in k)
-            out += f"{p}{i + 1} AS (SELECT * FROM {p}{i} UNION ALL SELECT x.name, sha1(unhex(x.w || coalesce(string_agg(h.hash, '' ORDER BY g.dst), ''))) FROM {p}w x LEFT JOIN {e} g ON g.src = x.name LEFT JOIN {p}{i} h ON h.name = g.dst WHERE x.kind IN ({which}) GROUP BY x.name, x.w), "
+            out += f"{p}{i + 1} AS MATERIALIZED (SELECT * FROM {p}{i} UNION ALL SELECT x.name, sha1(unhex(x.w || coalesce(string_agg(h.hash, '' ORDER BY g.dst), ''))) FROM {p}w x LEFT JOIN {e} g ON g.src = x.name LEFT JOIN {p}{i} h ON h.name = g.dst WHERE x.kind IN ({which}) GROUP BY x.name, x.w), "
         return out
 
     return (
-        f"n AS ({NODES.format(**plain)}), e AS ({EDGES.format(**plain)}), m AS ({AFTER_NODES.format(nodes='n')}), f AS ({AFTER_EDGES.format(nodes='n', edges='e')}), "
+        f"n AS MATERIALIZED ({NODES.format(**plain)}), e AS MATERIALIZED ({EDGES.format(**plain)}), m AS MATERIALIZED ({AFTER_NODES.format(nodes='n')}), f AS MATERIALIZED ({AFTER_EDGES.format(nodes='n', edges='e')}), "
         + levels("hb", "n", "e") + levels("ha", "m", "f")
-        + "tb AS (SELECT w.name, h.hash, w.rule_type, w.tier FROM hbw w JOIN hb4 h ON w.name = h.name), ta AS (SELECT w.name, h.hash, w.rule_type, w.tier FROM haw w JOIN ha4 h ON w.name = h.name)"
+        + "tb AS MATERIALIZED (SELECT w.name, h.hash, w.rule_type, w.tier FROM hbw w JOIN hb4 h ON w.name = h.name), ta AS MATERIALIZED (SELECT w.name, h.hash, w.rule_type, w.tier FROM haw w JOIN ha4 h ON w.name = h.name)"
     )
