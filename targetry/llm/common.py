@@ -1,10 +1,7 @@
-"""What several operators share: stored intermediate tables, texts as numpy arrays, connected components."""
+"""What several operators share: broadcasts, Arrow batches, texts as numpy arrays, lookups."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,11 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from targetry.operators.components import components
+from targetry.sources.tables import forget, store
+
+__all__ = ["components", "forget", "store"]
 
 U64 = np.uint64
 #: Texts are handled in blocks of about this many bytes, so that memory doesn't depend on the Arrow batch.
 BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
 #: ASCII white space, which ends a token: \x20 and \x09-\x0D.
 SPACE_CODES = (9, 10, 11, 12, 13, 32)
 TOKEN_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,8 +27,8 @@ WORD_PATTERN_LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: The multiplier of the polynomial (2**64 over the golden ratio) and, below, those of splitmix64's finalizer.
 _MULT = 0x9E3779B97F4A7C15 | 1
-_stored: list[tuple] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,36 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- intermediate tables -----------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a shared folder on a cluster")
-        path = "file://" + tempfile.mkdtemp(prefix="targetry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def store(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/targetry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stored.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._targetry_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_targetry_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-
-
 @contextmanager
 def broadcast(spark: SparkSession, value: object) -> Iterator[Broadcast]:
     """value on all executors until the block ends; what reads it has to be stored by then."""
@@ -75,19 +48,13 @@ def broadcast(spark: SparkSession, value: object) -> Iterator[Broadcast]:
         shared.destroy()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _stored:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone
-            return
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from here on: whole texts pass through Python workers, whose memory and that
+    of the JVM's buffers grows with the batch. A smaller setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 # --- texts as arrays ---------------------------------------------------------
@@ -214,45 +181,6 @@ def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
     return mix(h[where] ^ U64(width * 0x9E3779B1)), where
 
 
-# --- connected components ----------------------------------------------------
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node that has a link: (node, component).
-
-    edges: (a, b), any two comparable values of one type, no nulls. Alternates the large-star and small-star steps:
-    each node hands its neighbours to the smallest of them, until every node hangs on its component's smallest.
-    Edges stay distributed; each round is written to the shared folder, so rounds don't pile up lineage and the joins
-    read plain scans, whose skewed partitions Spark can split.
-    """
-    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(most_rounds):
-        # large star: each node's larger neighbours are tied to its smallest neighbour (or to itself)
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-        large = store(
-            now.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).where("a <> b").distinct()
-        )
-        # small star: each node and its smaller neighbours are tied to the smallest of them
-        low = store(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = store(small.union(low.select("a", F.col("m").alias("b"))).distinct())
-        forget(*([last] if last is not None else []), least, large, low)
-        last, now = now, new
-        # done once every node hangs on one alone, which hangs on nothing: each star's centre is its smallest node
-        if not now.groupBy("a").count().where("count > 1").isEmpty():
-            continue
-        if now.select(F.col("b").alias("c")).join(now.select("a"), F.col("c") == F.col("a"), "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError("components don't settle")
-    nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return nodes.union(now.select(F.col("b"), F.col("b")).distinct())
-
-
 # --- lookups ------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@ check of each hit word by word, and the hit spans.
 
 Null texts have no words and are clean. An item of fewer words than the window is one window of all its words; an item
 without words matches nothing. Item ids may repeat: they are listed once. Items without an id count like the others: a
-text that holds any of them is hit and has one null among its items. Empty tables give empty or clean results.
+text that holds any of them is hit and has one null among its items. Repeated rows are scanned each on its own, and so
+are long texts, whole. Empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, window_hashes, word_hashes
+from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, forget, lean, store, window_hashes, word_hashes
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast set. A larger benchmark is dealt into several sets by item, each scanned
@@ -95,39 +96,65 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     prefix goes before the names of the three; columns of docs that have these names are replaced.
     """
     n_words, spans, held = (f"{prefix}{c}" for c in ("n_words", "spans", "items"))
-    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    passes = max(1, -(-int(total) // set_bytes))
-    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     docs = docs.drop(n_words, spans, held)
-    out = docs.select("*", F.lit(0).cast("long").alias(n_words), F.lit(None).cast("array<bigint>").alias(spans), F.lit(None).cast("array<string>").alias(held))
-    for k in range(passes):
-        part = named.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(passes)) == k) if passes > 1 else named
-        grams = Grams([(r.item, r.text) for r in part.collect()], window)
-        shared = docs.sparkSession.sparkContext.broadcast(grams)
-        out = out.mapInArrow(_scanner(shared, text, prefix), out.schema)
-    pair = F.transform(F.sequence(F.lit(0), (F.size(spans) / 2 - 1).cast("int")), lambda i: F.struct(F.col(spans)[i * 2].alias("start"), F.col(spans)[i * 2 + 1].alias("end")))
+    out = _scanned(docs, items, text, item_id, item_text, window, set_bytes, None)
+    pair = F.transform(F.sequence(F.lit(0), (F.size("__spans") / 2 - 1).cast("int")), lambda i: F.struct(F.col("__spans")[i * 2].alias("start"), F.col("__spans")[i * 2 + 1].alias("end")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return out.withColumn(spans, F.when(F.size(spans) > 0, pair).otherwise(empty))
+    return out.select(*docs.columns, F.col("__n").alias(n_words), F.when(F.size("__spans") > 0, pair).otherwise(empty).alias(spans), F.col("__items").alias(held))
 
 
-def _scanner(shared, text: str, prefix: str):
+def _scanned(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, set_bytes: int, most_hit: float | None) -> DataFrame:
+    """docs with __n, __spans (flat) and __items. With most_hit: docs without hit spans and without the texts that are hit
+    by more, cut in the last pass. A benchmark of several sets takes a pass for each, stored in between, so that no task
+    holds two sets."""
+    spark = docs.sparkSession
+    lean(spark)
+    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    passes = max(1, -(-int(total) // set_bytes))
+    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    k = docs.columns.index(text)
+    schema = docs.select("*", F.lit(0).cast("long").alias("__n"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items")).schema
+    out = docs
+    for i in range(passes):
+        part = named.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(passes)) == i) if passes > 1 else named
+        shared = spark.sparkContext.broadcast(Grams([(r.item, r.text) for r in part.toLocalIterator()], window))
+        last = i == passes - 1
+        before, out = out, out.mapInArrow(_scanner(shared, k, i > 0, most_hit if last else None), docs.schema if last and most_hit is not None else schema)
+        if not last:
+            out = store(out)
+            shared.destroy()
+            forget(before)
+    return out
+
+
+def _scanner(shared, k: int, again: bool, most_hit: float | None):
+    """Texts in column k. again: the last three columns hold what earlier passes found."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value
         for batch in batches:
-            names = batch.schema.names
-            raw, at = flat_text(batch.column(names.index(text)))
+            columns = batch.columns[:-3] if again else batch.columns
+            old_spans, old_items = batch.columns[-2:] if again else (None, None)
+            raw, at = flat_text(columns[k])
             n_words, spans, items = [], [], []
-            old_spans, old_items = (batch.column(names.index(c)) for c in (f"{prefix}spans", f"{prefix}items"))
             for i, j in blocks(at):
                 for doc, n, found, held in grams.scan(raw[at[i] : at[j]], at[i : j + 1] - at[i]):
-                    before = old_spans[i + doc].as_py() or []
-                    if before:
+                    if again:
+                        before = old_spans[i + doc].as_py()
                         found = merge([*found, *zip(before[::2], before[1::2], strict=True)])
+                        held = held | set(old_items[i + doc].as_py())
                     n_words.append(n)
-                    spans.append([x for s in found for x in s])
-                    items.append(sorted(held | set(old_items[i + doc].as_py() or []), key=lambda x: (x is None, x or "")))
-            new = {f"{prefix}n_words": pa.array(n_words, pa.int64()), f"{prefix}spans": pa.array(spans, pa.list_(pa.int64())), f"{prefix}items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+                    spans.append(found)
+                    items.append(sorted(held, key=lambda x: (x is None, x or "")))
+            if most_hit is None:
+                new = [pa.array(n_words, pa.int64()), pa.array([[x for s in found for x in s] for found in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, *new], names=[*batch.schema.names[: len(columns)], "__n", "__spans", "__items"])
+                continue
+            if any(spans):
+                texts = pa.array([clean_text(columns[k][d].as_py(), found) if found else columns[k][d].as_py() for d, found in enumerate(spans)], pa.string())
+                kept = pa.array([sum(b - a for a, b in found) <= n * most_hit for n, found in zip(n_words, spans, strict=True)], pa.bool_())
+                columns = [(texts if c == k else x).filter(kept) for c, x in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(columns)])
 
     return run
 
@@ -147,24 +174,11 @@ def clean_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join(out).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", most_hit: float = 0.5, **options) -> DataFrame:
-    """docs (its columns) without hit spans; documents go whose words are hit by more than most_hit."""
-    found = scan(docs, items, text, prefix="__decontam_", **options)
-    kept = found.where(hit_words(F.col("__decontam_spans")) <= F.col("__decontam_n_words") * F.lit(most_hit))
-    names = docs.columns
-    kept = kept.select(*names, "__decontam_spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(len(names))
-            k = names.index(text)
-            if any(len(s) for s in spans):
-                new = pa.array([clean_text(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if len(s) else t.as_py() for t, s in zip(batch.column(k), spans, strict=True)], pa.string())
-            else:
-                new = batch.column(k)
-            yield pa.RecordBatch.from_arrays([new if c == k else batch.column(c) for c in range(len(names))], names=names)
-
-    return kept.mapInArrow(run, docs.schema)
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", most_hit: float = 0.5, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, set_bytes: int = SET_BYTES) -> DataFrame:
+    """docs (its columns, whatever their names) without hit spans; documents go whose words are hit by more than most_hit."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = _scanned(plain, items, f"c{docs.columns.index(text)}", item_id, item_text, window, set_bytes, most_hit)
+    return out.toDF(*docs.columns)
 
 
 def hit_words(spans):

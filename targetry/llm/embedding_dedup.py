@@ -4,7 +4,8 @@ cell) of the other, and each pair that meets is verified by its cosine in double
 
 Equal vectors are one class: they are linked without being compared. Vectors that are null or zero or hold null or
 non-finite components, and vectors of different lengths, link with nothing. Ids may repeat or be null: each row counts
-as a vector of its own; the smallest id of a component names it. An empty table gives an empty result.
+as a vector of its own; the smallest id of a component names it. Other columns may have any name. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -79,10 +80,15 @@ def cells(unit: np.ndarray, probes: int = PROBES, scale: float = SCALE, tables:
     return out
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as double unit vectors (they have one length)."""
+def _scaled(column: pa.Array) -> np.ndarray:
+    """Rows of a list column (they have one length) as doubles, each by the power of two that brings its largest component
+    between 1/2 and 1: exact, and squares neither overflow nor vanish."""
     x = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True), x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +98,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = batch.filter(pa.array(sizes == d))
             for k in range(0, own.num_rows, 2048):
                 part = own.slice(k, 2048)
-                found = cells(_unit(part.column(1))[0])
+                found = cells((x := _scaled(part.column(1))) / _norms(x)[:, None])
                 n, t, p = found.shape
-                ids = np.repeat(part.column(0).to_numpy(), t * p)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(n), t * p)))
                 home = np.tile(np.arange(p) == 0, n * t)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found.ravel()), pa.array(home)], names=["cls", "cell", "home"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found.ravel()), pa.array(home)], names=["cls", "cell", "home"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +114,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(v) for v in batch.column(2)])
         for d in np.unique(sizes):
             own = batch.filter(pa.array(sizes == d))
-            x, y = (np.stack(own.column(c).to_numpy(zero_copy_only=False)).astype(np.float64) for c in (2, 3))
-            cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+            x, y = _scaled(own.column(2)), _scaled(own.column(3))
+            cosine = (x * y).sum(1) / (_norms(x) * _norms(y))
             kept = own.filter(pa.array(cosine >= COSINE))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -119,14 +125,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     kept (key = component_id); one row per vector."""
     v = F.col(embedding).cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    # classes of equal vectors, by a 128-bit digest as two longs; the first names the class
-    code = F.md5(F.to_json(F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).cast("binary"))
-    half = lambda a: F.conv(F.substring(code, a, 15), 16, 10).cast("long")
-    rows = store(vectors.select(F.col(key).alias("id"), F.when(fine, half(1)).alias("cls"), F.when(fine, v).alias("v")))
+    # classes of equal vectors, named by a 128-bit digest
+    code = F.unhex(F.md5(F.to_json(F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).cast("binary")))
+    rows = store(vectors.select(F.col(key).alias("id"), F.when(fine, code).alias("cls"), F.when(fine, v).alias("v")))
     good = rows.where("cls IS NOT NULL")
     classes = store(good.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     one = store(good.groupBy("cls").agg(F.first("v").alias("v")))
-    index = store(one.mapInArrow(_index, "cls long, cell long, home boolean"))
+    index = store(one.mapInArrow(_index, "cls binary, cell long, home boolean"))
     pairs = (
         index.where("home").select("cell", F.col("cls").alias("x"))
         .join(index.select("cell", F.col("cls").alias("y")), "cell")
@@ -136,7 +141,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     )
     pairs = store(pairs)
     left, right = one.select(F.col("cls").alias("a"), F.col("v").alias("va")), one.select(F.col("cls").alias("b"), F.col("v").alias("vb"))
-    links = store(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_verify, "a long, b long"))
+    links = store(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_verify, "a binary, b binary"))
     size = classes.select(F.col("cls").alias("b"), "n")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(size, "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, TOKEN_BYTES, U64, blocks, broadcast, components, cut_words, flat_text, forget, mix, store, window_hashes, word_hashes
+from targetry.llm.common import LOWER, TOKEN_BYTES, U64, blocks, broadcast, components, cut_words, flat_text, forget, lean, mix, store, window_hashes, word_hashes
 
 WIDTH = 5
 #: Coordinates of a count vector.
@@ -585,6 +585,7 @@ def _between(sets: DataFrame, tied: DataFrame) -> DataFrame:
 
 def _resolve(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(id, n, cls, num) of each document, and of each class with a link (c, id_least and rep of its component): stored."""
+    lean(docs.sparkSession)
     id_type = docs.select(F.col(key).alias("id")).schema[0].dataType.simpleString()
     rows = store(docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(_describe, f"id {id_type}, n long, cls binary, num long"))
     classes = rows.where("cls IS NOT NULL").groupBy("cls", "num").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("docs"))

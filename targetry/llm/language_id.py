@@ -1,12 +1,13 @@
 """Language identification: multinomial logistic regression on TF-IDF of hashed character n-grams, trained with the
 follow-the-regularised-leader method under an elastic-net penalty, then calibrated by one temperature.
 
-Document frequencies are counted over all learning documents. The regression is fitted on at most about MAX_ROWS of
-them, drawn by a hash with a rate for each language, so that rare languages are kept. A tenth of these rows is held back
-for the temperature.
+Document frequencies are counted over all learning documents. The regression is fitted on at most MAX_ROWS of them, and
+MAX_BYTES of features, drawn by a hash of key and row number with a rate for each language, so that rare languages are
+kept. A tenth of these rows is held back for the temperature.
 
 Null texts and texts without a letter get `und` and score 0; so does every text when there is nothing to learn from.
-Repeated rows are scored each on its own. Columns other than the text, the label and the key are passed through.
+Repeated rows are scored each on its own; of equal probabilities the first language in order counts. Long texts are read
+whole. An empty table gives an empty result. Columns other than the text, the label and the key are passed through.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import forget, store
+from targetry.llm.common import forget, lean, store
 
 #: Hashed features: 2**BITS, and one for the bias.
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Labelled rows to fit on, about; shared out evenly over the languages.
-MAX_ROWS = 6000
+#: Labelled rows to fit on and bytes of their features, at most; the rows are shared out about evenly over the languages.
+MAX_ROWS, MAX_BYTES = 6000, 256 << 20
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 _BLOCK_CHARS = 1 << 20
@@ -135,7 +136,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     share = max(1, max_rows // max(1, len(languages)))
     rate = {k: min(1.0, share / n) for k, n in seen.items()}
     number = {k: i for i, k in enumerate(languages)}
-    draw = (F.pmod(F.xxhash64(F.lit(11), F.col(key).cast("string"), F.length(text)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    # the row's number is part of the draw, so rows that repeat are drawn each on its own
+    draw = (F.pmod(F.xxhash64(F.lit(11), F.col(key).cast("string"), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    lean(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << BITS, np.int64)
@@ -150,7 +153,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 df[where] += 1
                 n += 1
                 if u < rate[language]:
-                    kept.append((number[language], u, where.astype("<u2").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes()))
+                    kept.append((number[language], u, where.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
             if kept:
                 y, u, where, counts = zip(*kept, strict=True)
                 none = [None] * len(kept)
@@ -167,7 +170,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     total = sums.pop(1 << BITS, 0)
     for f, df in sums.items():
         idf[f] = np.log((1 + total) / (1 + df)) + 1
-    sample = [(np.frombuffer(r["where"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u2").astype(float), r.y, r.u / rate[languages[r.y]]) for r in found.where("y IS NOT NULL").select("y", "u", "where", "counts").collect()]
+    # at most max_rows of what was drawn, and MAX_BYTES of their features: the cut is decided on their sizes
+    place = F.col("u") / F.element_at(F.array(*[F.lit(rate[k]) for k in languages] or [F.lit(1.0)]), F.col("y") + 1)
+    drawn = found.where("y IS NOT NULL").select("y", place.alias("place"), "where", "counts")
+    sizes = drawn.select("place", (F.octet_length("where") * 3).alias("size")).orderBy("place").limit(max_rows).collect()
+    bytes_ = np.cumsum([r.size for r in sizes])
+    most = int(np.searchsorted(bytes_, MAX_BYTES, "right"))
+    kept = drawn.where(F.col("place") <= sizes[most - 1].place).orderBy("place", "y", F.xxhash64("where", "counts")).limit(most).collect() if most else []
+    sample = [(np.frombuffer(r["where"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(float), r.y, r.place) for r in kept]
     forget(found)
     sample.sort(key=lambda r: (r[3], r[2], len(r[0])))
     model = Model(languages, idf)
@@ -183,6 +193,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
     """docs with lang_pred and score added (columns of these names are replaced); prefix goes before the two names."""
     pred, score = f"{prefix}lang_pred", f"{prefix}score"
     docs = docs.drop(pred, score)
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = docs.columns.index(text)
 

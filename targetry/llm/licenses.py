@@ -2,10 +2,10 @@
 
 A text's words are joined by single spaces. If no rule's keyword begins a word there, the text is left at once. Otherwise
 each rule whose keyword does is matched as a regular expression on the lower-cased words, and a detection is suppressed if one of at least its
-priority contains its interval (of equal intervals with equal priority the first rule's stays).
+priority contains its interval (of equal intervals with equal priority that of the first label in order stays).
 
-Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each on its own. Intervals are in
-words from 0, the end exclusive.
+Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each on its own, and so are long texts,
+whole. An empty table gives an empty result. Intervals are in words from 0, the end exclusive.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ _CC = (("by", "attribution"), ("nc", "non ?commercial"), ("sa", "share ?alike"),
 
 
 def rules() -> Iterator[tuple[str, str, str, int, float]]:
-    """label, keyword, pattern, priority, confidence; earlier rules win ties.
+    """label, keyword, pattern, priority, confidence.
 
     A family gives for each name a grant, a title and an identifier, and each of them for each version once more. A title
     without a version has to say license; the clauses of a version stand before or after the name.

@@ -10,7 +10,9 @@ Counts cover all learning documents and grow with them. The most frequent words
 all others are joined by shuffling. The trie is broadcast in slices of at most SLICE_PAIRS pairs of context and symbol,
 dealt by the two latest bytes; each slice scores the positions that belong to it in a pass of its own.
 
-Null texts count as empty: one end token, one end symbol. Without learning documents all counts are 0.
+Null texts count as empty: one end token, one end symbol. Without learning documents all counts are 0. Repeated rows count
+and are scored each on its own; of equally frequent words those of smaller hashes are broadcast. Long texts are read whole.
+An empty table gives an empty result. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, TOKEN_BYTES, U64, Lookup, blocks, cut_words, flat_text, forget, store, summed, word_hashes
+from targetry.llm.common import LOWER, TOKEN_BYTES, U64, Lookup, blocks, cut_words, flat_text, forget, lean, store, summed, word_hashes
 
 ORDER = 4
 BROADCAST_WORDS = 1 << 18
@@ -176,10 +178,13 @@ def _pairs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, learn: Column, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of carry, n_tokens, n_known, train_tokens, base_score, score; one row per document.
+    """The columns of carry, n_tokens, n_known, train_tokens, base_score, score; one row per document. Columns of carry that
+    have one of these names are replaced.
 
     learn: which documents to learn from (null: not).
     """
+    carry = tuple(c for c in carry if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    lean(docs.sparkSession)
     counts = store(
         docs.where(F.coalesce(learn, F.lit(False))).select(F.col(text).alias("t")).mapInArrow(_counter(0), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     )
@@ -205,7 +210,9 @@ def score(docs: DataFrame, learn: Column, text: str = "text", carry: tuple[str,
         own = pairs if parts == 1 else pairs.where(F.shiftright(latest, 4) % parts == part)
         trie = spark.sparkContext.broadcast(Trie(*_pairs(own), *low, parts, part))
         if part < parts - 1:
-            now = store(now.mapInArrow(_scorer(trie, now.columns), now.schema))
+            before, now = now, store(now.mapInArrow(_scorer(trie, now.columns), now.schema))
+            trie.destroy()
+            forget(before)
     schema = now.drop("_text").select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.array().cast("array<bigint>").alias("rare"), F.array().cast("array<bigint>").alias("rare_n")).schema
     scored = store(now.mapInArrow(_base(vocabulary, trie, end, below, now.columns), schema))
     rare = scored.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("_row", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("m"))

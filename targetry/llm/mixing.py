@@ -7,7 +7,8 @@ each node gives its left child a hypergeometric draw from each source in turn. A
 laid out over the shards by these quotas, so shards get disjoint blocks, and each shard is ordered by a hash of its own.
 
 Null texts and texts without words have size 0 and take 0. A null source is a source of its own, last in order. An empty
-table gives an empty result. Documents with equal ids and equal sizes are ties; their order is fixed by the text's hash.
+table gives an empty result. Documents with equal ids and equal sizes are ties; their order is fixed by the text's hash, and
+rows that repeat are one block's neighbours. Long texts are counted whole. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -166,22 +167,26 @@ def mix(
         F.col(key).alias("_key"),
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
+    narrow = store(rows.select("source", "size", "_h", "_t", "_key"))
+    if not carry:  # nothing else of the documents is wanted
+        rows = narrow
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_docs") / float(block_docs)))
     words = F.least(F.round("target").cast("long"), F.col("source_size") * most)
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0).cast("long"))
     sums = store(
-        targets(rows.select("source", "size"), weights, most)
+        targets(narrow.select("source", "size"), weights, most)
         .withColumn("blocks", blocks)
         .withColumn("passes", passes)
         .withColumn("rest", words - F.col("passes") * F.col("source_size"))
         .withColumnRenamed("source", "_s")
     )
     same = F.col("source").eqNullSafe(F.col("_s"))
-    dealt = rows.join(sums, same).withColumn("block", F.pmod(F.shiftrightunsigned("_h", 7), F.col("blocks")))
+    deal = lambda df: df.join(sums, same).withColumn("block", F.pmod(F.shiftrightunsigned("_h", 7), F.col("blocks")))
+    dealt = deal(rows)
     # what each block holds, in the source's permuted order of blocks, and where the last pass ends
     in_order = W.partitionBy("_s").orderBy(F.xxhash64(F.lit(SEED + 1), "_s", "block"), "block")
     held = (
-        dealt.groupBy("_s", "block").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("blocks", "passes", "rest")])
+        deal(narrow).groupBy("_s", "block").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("blocks", "passes", "rest")])
         .withColumn("p", F.row_number().over(in_order).cast("long") - 1)
         .withColumn("n_held", F.count("*").over(W.partitionBy("_s")))
         .withColumn("before", F.coalesce(F.sum("words").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))

@@ -6,8 +6,9 @@ not) or an IPv6 address of letters alone, with three colons or more; it reads th
 that has one of these, and never a text without them. Its spans are checked (digits, Luhn, octets, mixture of characters) and
 count where they don't overlap a pattern's span.
 
-Null texts count as empty: no spans. Repeated rows are searched each on its own. Places are in code points, the end
-exclusive.
+Null texts count as empty: no spans. Repeated rows are searched each on its own. Long texts are read whole, in pieces of
+MOST_RUN words that overlap. Ties between label sequences go to the first label. Places are in code points, the end
+exclusive. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,19 +16,24 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import blocks, flat_text
+from targetry.llm.common import blocks, flat_text, lean
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE = KINDS[:4]
 REACH = 4
+#: Words of a run that are decoded at once, what its pieces have in common on either side, and words of a batch of runs.
+MOST_RUN, OVERLAP, MOST_WORDS = 4096, 16, 1 << 14
 Span = tuple[str, int, int]
 
 # --- fixed patterns: [0-9]++ takes a run at once, so a long run is read once ---
@@ -169,7 +175,7 @@ def _hash(name: str) -> int:
 def shape(word: str) -> str:
     """Runs of upper, lower, digits as A, a, 9; other ASCII as it is; anything else as u."""
     out = []
-    for c in word[:64]:
+    for c in word:
         s = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() and c.isascii() else c if c.isascii() else "u"
         if not out or out[-1] != s or s not in "Aa9u":
             out.append(s)
@@ -330,21 +336,35 @@ def trained() -> Field:
     return field
 
 
-def windows(text: str) -> list[list[re.Match]]:
-    """Words near a marked one, runs that touch merged."""
-    words = list(_WORD.finditer(text))
-    out: list[list[re.Match]] = []
-    last = -1
-    for i, w in enumerate(words):
-        if _MARK.search(w[0]):
-            first = max(i - REACH, last)
-            end = min(len(words), i + REACH + 1)
-            if out and first <= last:
-                out[-1] += words[last:end]
-            else:
-                out.append(words[first if first >= 0 else 0 : end])
-            last = max(last, end)
-    return out
+def windows(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Start and end of words near a marked one, runs that touch merged, and which of them (from, to) a span may begin with.
+
+    A run of more than MOST_RUN words comes in pieces that overlap by twice OVERLAP words.
+    """
+    run: list[tuple[int, int]] = []
+    first = 0
+    before: deque[tuple[int, int]] = deque(maxlen=REACH)
+    left = 0
+    for m in _WORD.finditer(text):
+        w = m.span()
+        if _MARK.search(m[0]):
+            run += before
+            run.append(w)
+            before.clear()
+            left = REACH
+        elif left:
+            run.append(w)
+            left -= 1
+        else:
+            if run and len(before) == REACH:
+                yield run, first, len(run)
+                run, first = [], 0
+            before.append(w)
+        if len(run) >= MOST_RUN:
+            yield run, first, len(run) - OVERLAP
+            run, first = run[-2 * OVERLAP :], OVERLAP
+    if run:
+        yield run, first, len(run)
 
 
 def sure(kind: str, text: str) -> bool:
@@ -365,13 +385,26 @@ def sure(kind: str, text: str) -> bool:
 
 
 def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """Of each text the patterns' spans and all spans."""
+    """Of each text the patterns' spans and all spans. About MOST_WORDS words are decoded at a time."""
     base = [base_spans(t) for t in texts]
-    near = [windows(t) for t in texts]
-    flat = [(d, w) for d, ws in enumerate(near) for w in ws]
-    decoded = field.decode([[m[0] for m in w] for _, w in flat])
     more: list[list[Span]] = [[] for _ in texts]
-    for (d, words), labels in zip(flat, decoded, strict=True):
+    held: list[tuple[int, list[tuple[int, int]], int, int]] = []
+    size = 0
+    for d, text in enumerate(texts):
+        for words, low, high in windows(text):
+            held.append((d, words, low, high))
+            size += len(words)
+            if size > MOST_WORDS:
+                _decode(texts, held, field, base, more)
+                held, size = [], 0
+    _decode(texts, held, field, base, more)
+    return [(b, in_order([*b, *m])) for b, m in zip(base, more, strict=True)]
+
+
+def _decode(texts: list[str], held: list[tuple[int, list[tuple[int, int]], int, int]], field: Field, base: list[list[Span]], more: list[list[Span]]) -> None:
+    taken = {d: _Taken(base[d]) for d in {h[0] for h in held}}
+    decoded = field.decode([[texts[d][a:b] for a, b in w] for d, w, _, _ in held])
+    for (d, words, low, high), labels in zip(held, decoded, strict=True):
         i = 0
         while i < len(words):
             name = LABELS[labels[i]]
@@ -379,15 +412,26 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
             if name != "O":
                 while j < len(words) and LABELS[labels[j]] == f"I-{name[2:]}":
                     j += 1
-                a, b = words[i].start(), words[j - 1].end()
+                a, b = words[i][0], words[j - 1][1]
                 while a < b and texts[d][a] in _OPEN and not (texts[d][a] == "(" and ")" in texts[d][a:b]):
                     a += 1
                 while a < b and texts[d][b - 1] in _CLOSE:
                     b -= 1
-                if a < b and sure(name[2:], texts[d][a:b]) and not any(x < b and a < y for _, x, y in base[d]):
+                if a < b and low <= i < high and sure(name[2:], texts[d][a:b]) and not taken[d](a, b):
                     more[d].append((name[2:], a, b))
             i = j
-    return [(b, in_order([*b, *m])) for b, m in zip(base, more, strict=True)]
+
+
+class _Taken:
+    """Whether a place overlaps one of some spans. ends: the furthest end of the spans up to each."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(spans, key=lambda s: s[1])
+        self.starts, self.ends = [s[1] for s in spans], list(accumulate((s[2] for s in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
 
 
 _NEEDED = np.zeros(256, bool)
@@ -416,42 +460,48 @@ def marks(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _found(column: pa.Array, field: Field) -> Iterator[tuple[int, list[Span], list[Span]]]:
+    """Number, patterns' spans and all spans of the texts that may have any."""
+    raw, at = flat_text(column)
+    for i, j in blocks(at):
+        has = np.append(0, np.cumsum(marks(raw[at[i] : at[j]], at[i : j + 1] - at[i]), dtype=np.int64))[at[i : j + 1] - at[i]]
+        ask = [i + int(d) for d in np.flatnonzero(np.diff(has))]
+        for d, (base, spans) in zip(ask, find([raw[at[d] : at[d + 1]].tobytes().decode() for d in ask], field), strict=True):
+            yield d, base, spans
+
+
 def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone, base_sha256 and spans added (columns of these names are replaced).
+    """docs with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans added (columns of these names are replaced).
 
-    The counts and the digest are of the patterns' spans; spans lists all as kind:start:end, comma-joined.
+    The counts by kind and the digest are of the patterns' spans; spans lists all as kind:start:end, comma-joined.
     """
-    names = [f"{prefix}{c}" for c in (*(f"n_{k}" for k in BASE), "base_sha256", "spans")]
+    names = [f"{prefix}{c}" for c in (*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans")]
     docs = docs.drop(*names)
+    lean(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(trained())
     k = docs.columns.index(text)
-    empty = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+    empty = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = flat_text(batch.column(k))
             rows = [empty] * batch.num_rows
-            for i, j in blocks(at):
-                has = np.append(0, np.cumsum(marks(raw[at[i] : at[j]], at[i : j + 1] - at[i]), dtype=np.int64))[at[i : j + 1] - at[i]]
-                ask = [i + int(d) for d in np.flatnonzero(np.diff(has))]
-                for d, (base, spans) in zip(ask, find([raw[at[d] : at[d + 1]].tobytes().decode() for d in ask], field.value), strict=True):
-                    counts = [sum(s[0] == kind for s in base) for kind in BASE]
-                    rows[d] = (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            for d, base, spans in _found(batch.column(k), field.value):
+                counts = [sum(s[0] == kind for s in base) for kind in BASE]
+                rows[d] = (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             new = [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    more = [F.lit(0).cast("long").alias(c) for c in names[:4]] + [F.lit("").alias(c) for c in names[4:]]
-    return docs.mapInArrow(run, docs.select("*", *more).schema)
+    number, string = F.lit(0).cast("long"), F.lit("")
+    return docs.mapInArrow(run, docs.select("*", *[(string if c in (4, 5) else number).alias(n) for c, n in enumerate(names)]).schema)
 
 
-def redact_text(text: str | None, spans: str) -> str | None:
+def redact_text(text: str | None, spans: list[Span]) -> str | None:
     """text with each span replaced by its kind in angle brackets; overlapping spans become one."""
     if text is None or not spans:
         return text
     out, last = [], 0
-    for kind, a, b in (s.split(":") for s in spans.split(",")):
-        a, b = int(a), int(b)
+    for kind, a, b in spans:
         if a >= last:
             out += [text[last:a], f"<{kind.upper()}>"]
         last = max(last, b)
@@ -459,17 +509,18 @@ def redact_text(text: str | None, spans: str) -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, its columns, with all spans redacted."""
-    found = scan(docs, text, prefix="__pii_")
-    names = docs.columns
-    k = names.index(text)
+    """docs, its columns (whatever their names), with all spans redacted."""
+    lean(docs.sparkSession)
+    field = docs.sparkSession.sparkContext.broadcast(trained())
+    k = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(names)).to_pylist()
             column = batch.column(k)
-            if any(spans):
-                column = pa.array([redact_text(column[i].as_py(), s) if s else column[i].as_py() for i, s in enumerate(spans)], pa.string())
-            yield pa.RecordBatch.from_arrays([column if c == k else batch.column(c) for c in range(len(names))], names=names)
+            found = {d: spans for d, _, spans in _found(column, field.value) if spans}
+            if found:
+                column = pa.array([redact_text(x.as_py(), found.get(d, [])) for d, x in enumerate(column)], pa.string())
+            yield pa.RecordBatch.from_arrays([column if c == k else x for c, x in enumerate(batch.columns)], names=batch.schema.names)
 
-    return found.select(*names, "__pii_spans").mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -2,11 +2,13 @@
 hashed words and a few hashed shape features, and ordered thresholds. The expected grade and the probability of the top
 grade follow; documents below a top-grade probability are rejected.
 
-Grades come from ratings: 0 toxic, 1 not toxic and of low quality, 2 neither. Fitted on at most MAX_ROWS rated
-documents, drawn by a hash of the id. Ratings with a null are passed over; several ratings of one document all count.
+Grades come from ratings: 0 toxic, 1 not toxic and of low quality, 2 neither. Fitted on at most MAX_ROWS rated documents
+with MAX_BYTES of text, drawn by a hash of id and row number. Ratings with a null are passed over; several ratings of one
+document all count.
 
 Null and empty texts have only their shape features. Without any rating there is no grade: expected_grade and p_top are
-null and every document is kept. Repeated rows are judged each on its own.
+null and every document is kept. Repeated rows are judged each on its own; a probability equal to the threshold is kept.
+Long texts are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, word_hashes
+from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, lean, word_hashes
 
 BITS = 18
 GRADES = 3
-#: Rated documents to fit on, at most.
-MAX_ROWS = 10_000
+#: Rated documents to fit on and bytes of their texts, at most.
+MAX_ROWS, MAX_BYTES = 10_000, 64 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 1e-3
 #: Documents whose top grade is less likely than this are rejected.
@@ -133,25 +135,30 @@ class Model:
         return float((1 - below).sum()), float(1 - below[-1])
 
 
-def train(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", toxic: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """The drawn ratings (at most max_rows rows of an id and a grade) are broadcast to the scan of the documents."""
+def train(docs: DataFrame, ratings: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", toxic: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """The drawn ratings (at most max_rows rows of an id and a grade) are broadcast to the scan of the documents. Of the
+    documents found, the first by a hash of id and row number are read, as many as max_rows and max_bytes of text allow."""
+    lean(docs.sparkSession)
     rated = ratings.where(F.col(quality).isNotNull() & F.col(toxic).isNotNull() & F.col(key).isNotNull())
     grade = F.when(F.col(toxic) != 0, 0).when(F.col(quality) == 0, 1).otherwise(2)
-    drawn = rated.select(F.col(key).alias("_key"), grade.alias("_grade"), F.xxhash64(F.lit(3), F.col(key).cast("string")).alias("_h")).orderBy("_h", "_grade").limit(max_rows)
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(drawn), F.col("_k") == F.col("_key")).select("_text", "_grade", "_h")
+    drawn = rated.select(F.col(key).alias("_key"), grade.alias("_grade"), F.xxhash64(F.lit(3), F.col(key).cast("string"), grade).alias("_h")).orderBy("_h", "_grade").limit(max_rows)
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    texts = texts.join(F.broadcast(drawn), F.col("_k") == F.col("_key")).select("_text", "_grade", F.xxhash64("_h", "_row").alias("_h"))
+    sizes = texts.select("_h", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")).orderBy("_h").limit(max_rows).collect()
+    most = int(np.searchsorted(np.cumsum([r.size for r in sizes]), max_bytes, "right"))
+    last = sizes[most - 1]["_h"] if most else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [f.astype("<i4").tobytes() for f in features(*flat_text(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["features", "grade", "h"])
 
-    got = texts.mapInArrow(run, "features binary, grade int, h long").collect()
+    got = texts.where(F.col("_h") <= F.lit(last)).mapInArrow(run, "features binary, grade int, h long").collect() if most else []
     got.sort(key=lambda r: (r.h, r.grade, r.features))
-    rows = [(np.frombuffer(r.features, "<i4"), r.grade) for r in got]
+    rows = [(np.frombuffer(r.features, "<i4"), r.grade) for r in got[:most]]
     del got
     model = Model()
     model.fit(rows)
-    del rows
     return model
 
 
@@ -159,6 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", t
     """docs with expected_grade (0 to GRADES - 1), p_top and keep added; columns of these names are replaced."""
     names = [f"{prefix}{c}" for c in ("expected_grade", "p_top", "keep")]
     docs = docs.drop(*names)
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = docs.columns.index(text)
 

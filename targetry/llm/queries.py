@@ -69,8 +69,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))\
-        .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
