@@ -1,7 +1,8 @@
-"""License scans by ordered signature rules, with DataFrame and SQL functions only.
+"""License scans by ordered signature rules, with DataFrame and SQL functions only: rules written by hand (license_rules), and
+grants, titles and identifiers of families of licenses.
 
-A text's words are joined by single spaces. If no rule's keyword begins a word there, the text is left at once. Otherwise
-each rule whose keyword does is matched as a regular expression on the lower-cased words, and a detection is suppressed if one of at least its
+A text's words are joined by single spaces. If it holds the first word of no rule's keyword, it is left at once. Otherwise
+each rule whose keyword it holds is matched as a regular expression on the lower-cased words, and a detection is suppressed if one of at least its
 priority contains its interval (of equal intervals with equal priority that of the first label in order stays).
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each on its own, and so are long texts,
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from targetry.llm.common import WORD_PATTERN
+from targetry.llm.license_rules import written
 
 #: Phrases that always count wherever their words stand in a row, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -74,19 +76,6 @@ FAMILIES = (
     ("libpng", "libpng|png reference library", "2"),
     ("mulan", "mulan permissive software|mulan psl", "1|2"),
 )
-#: Texts of their own: label, keyword, pattern, priority, confidence.
-SINGLE = (
-    ("all-rights-reserved", "rights reserved", "all rights reserved", 1, 0.6),
-    ("public-domain", "public domain", "(?:released |dedicated |placed )?(?:in|into|to) the public domain", 2, 0.9),
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 3, 1.0),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms(?: with or without modification)?", 3, 1.0),
-    ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 1, 0.5),
-    ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", 2, 0.9),
-    ("cc0", "creative commons", "creative commons zero", 2, 0.9),
-    ("no-warranty", "warrant", "without warranty of any kind", 1, 0.4),
-    ("copyleft", "copyleft", "copyleft", 1, 0.4),
-)
 _CC = (("by", "attribution"), ("nc", "non ?commercial"), ("sa", "share ?alike"), ("nd", "no ?derivatives"))
 
 
@@ -116,15 +105,10 @@ def rules() -> Iterator[tuple[str, str, str, int, float]]:
             label = "cc-" + "-".join(c[0] for c in parts)
             yield label, "cc", "cc " + " ".join(c[0] for c in parts) + "(?: [1-4] [0-9])?", 2 + len(parts), 0.9
             yield label, "creative commons", "creative commons " + " ".join(c[1] for c in parts) + "(?: license)?(?: [1-4] [0-9])?", 3 + len(parts), 1.0
-    yield from SINGLE
-
-
-PRIORITIES = 8
+    yield from written()
 
 
-def openers(keywords: list[str]) -> list[str]:
-    """The keywords that begin with no other keyword: a text that has none of these has no keyword."""
-    return [k for k in keywords if not any(k != o and k.startswith(o) for o in keywords)]
+PRIORITIES = 9
 
 
 def _spaces(x: str) -> str:
@@ -140,15 +124,15 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     keywords = sorted({r[1] for r in table})
     number = {k: i for i, k in enumerate(keywords)}
     as_json = json.dumps([{"k": number[k], "x": f" (?:{x})(?= )", "p": p, "l": label, "c": c} for label, k, x, p, c in table])
-    # the gate: lower() may make ASCII letters of others, which only lets more texts through
+    # the gate, on the first words of keywords: every match of a rule holds its keyword as whole words
     joined = F.trim(F.regexp_replace(F.col(text), WORD_PATTERN.replace("[^", "["), " "))
-    out = docs.withColumn("_t", joined).withColumn("_low", F.concat(F.lit(" "), F.lower("_t"), F.lit(" ")))
-    gate = F.lit(False)
-    for k in openers(keywords):
-        gate = gate | F.contains(F.col("_low"), F.lit(f" {k}"))
+    first = sorted({k.split(" ")[0] for k in [*keywords, *(phrase for phrase, _ in PHRASES)]})
+    # lower() may make ASCII letters of others, which only lets more texts through
+    out = docs.withColumn("_t", joined).withColumn("_all", F.split(F.lower("_t"), " "))
+    gate = F.arrays_overlap("_all", F.array(*map(F.lit, first)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out = out.withColumn(words, F.when(F.length("_t") > 0, F.expr(f"{_spaces('_t')} + 1")).otherwise(0).cast("long"))
-    out = out.withColumn("_j", F.when(gate, F.concat(F.lit(" "), F.translate("_t", upper, upper.lower()), F.lit(" ")))).drop("_t", "_low")
+    out = out.withColumn(words, F.when(F.length("_t") > 0, F.size("_all")).otherwise(0).cast("long"))
+    out = out.withColumn("_j", F.when(gate, F.concat(F.lit(" "), F.translate("_t", upper, upper.lower()), F.lit(" ")))).drop("_t", "_all")
     said = " OR ".join(f"contains(_j, ' {phrase} ')" for phrase, _ in PHRASES)
     out = out.withColumn("_w", F.expr(f"CASE WHEN {said} THEN split(trim(_j), ' ') END"))
     places = []
@@ -160,7 +144,7 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     # the keywords that occur, the rules they open, and each rule's matches with their places in words
     rule_type = "array<struct<k:int,x:string,p:int,l:string,c:double>>"
     out = out.withColumn(base, F.expr(f"CASE WHEN _j IS NULL THEN array() ELSE concat({', '.join(places)}) END"))
-    out = out.withColumn("_hit", F.expr(f"CASE WHEN _j IS NOT NULL THEN transform(from_json('{json.dumps(keywords)}', 'array<string>'), k -> contains(_j, concat(' ', k))) END"))
+    out = out.withColumn("_hit", F.expr(f"CASE WHEN _j IS NOT NULL THEN transform(from_json('{json.dumps(keywords)}', 'array<string>'), k -> contains(_j, concat(' ', k, ' '))) END"))
     open_rules = F.expr("filter(_rules, r -> _hit[r.k])")
     out = out.withColumn("_rules", F.from_json(F.lit(as_json), rule_type)).withColumn("_open", F.when(F.col("_hit").isNotNull(), open_rules)).drop("_rules", "_hit")
     detections = f"""flatten(transform(_open, r -> aggregate(

@@ -165,7 +165,7 @@ def test_license_rules_against_plain_version(spark):
         joined = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) + " "
         found = []
         for label, keyword, pattern, priority, _ in table:
-            if f" {keyword}" in joined:
+            if f" {keyword} " in joined:
                 found += [(joined[: m.start()].count(" "), joined[: m.end()].count(" "), priority, label) for m in re.finditer(f" (?:{pattern})(?= )", joined)]
         found.sort(key=lambda d: (d[0], -d[1], -d[2], d[3]))
         kept = []
