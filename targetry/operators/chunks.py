@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from targetry.sources.tables import store
 
-_FACTS = "part int, total long, first array<long>, count array<long>, last array<long>"
+_FACTS = "part int, total long, first array<long>, follow array<long>, last array<long>"
 
 
 def _follow(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +39,7 @@ def numbered(rows: DataFrame, size: str, most: int, *order: str) -> DataFrame:
             if after[i] < n:
                 count[i], last[i] = count[after[i]] + 1, last[after[i]]
         some = min(n, int(np.searchsorted(sums, most, "right")) + 1)  # rows that the open chunk may leave first
-        return pd.DataFrame({"part": [frame["_part"].iloc[0]], "total": [sums[n]], "first": [sums[:some]], "count": [count[:some]], "last": [last[:some]]})
+        return pd.DataFrame({"part": [frame["_part"].iloc[0]], "total": [sums[n]], "first": [sums[:some]], "follow": [count[:some]], "last": [last[:some]]})
 
     found = store(held.select("_part", size, *[c for c in order if c != size]).groupBy("_part").applyInPandas(facts, _FACTS))
     begins, chunk, open_ = [], -1, None  # the chunk that is open, and its bytes
@@ -50,7 +50,7 @@ def numbered(rows: DataFrame, size: str, most: int, *order: str) -> DataFrame:
         if open_ is not None and r.total <= most - open_:
             open_ += r.total
         else:
-            chunk, open_ = chunk + r.count[fits], r.last[fits]
+            chunk, open_ = chunk + r.follow[fits], r.last[fits]
     starts = {p: (c, o) for p, c, o in begins}
 
     def deal(frame: pd.DataFrame) -> pd.DataFrame:

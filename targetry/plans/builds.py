@@ -255,7 +255,7 @@ def register_responses(sql, diff_sql: str) -> None:
 _CHUNKED = """
 v AS (SELECT l_orderkey, list_sort(list(l_partkey)) AS deps FROM lineitem GROUP BY l_orderkey),
 s AS (SELECT l_orderkey, CAST(list_sum(list_transform(deps, lambda x: CASE WHEN x < 128 THEN 1 WHEN x < 16384 THEN 2 WHEN x < 2097152 THEN 3 ELSE 4 END)) AS BIGINT) AS d FROM v),
-z AS (SELECT l_orderkey, 1 + CASE WHEN l_orderkey < 128 THEN 1 WHEN l_orderkey < 16384 THEN 2 WHEN l_orderkey < 2097152 THEN 3 ELSE 4 END + 1 + CASE WHEN d < 128 THEN 1 ELSE 2 END + d AS b FROM s),
+z AS (SELECT l_orderkey, CASE WHEN l_orderkey = 0 THEN 0 WHEN l_orderkey < 128 THEN 2 WHEN l_orderkey < 16384 THEN 3 WHEN l_orderkey < 2097152 THEN 4 ELSE 5 END + 1 + CASE WHEN d < 128 THEN 1 ELSE 2 END + d AS b FROM s),
 p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_orderkey) AS i, b, CAST(sum(b) OVER (ORDER BY l_orderkey) AS BIGINT) AS t FROM z),
 h AS (SELECT CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, (SELECT max(i) FROM p WHERE t <= 65536) AS j
  UNION ALL SELECT c + 1, j, (SELECT t FROM p WHERE p.i = h.j), (SELECT max(p.i) FROM p WHERE p.t <= 65536 + (SELECT t FROM p WHERE p.i = h.j)) FROM h WHERE j < (SELECT max(i) FROM p))"""
