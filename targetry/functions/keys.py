@@ -26,6 +26,7 @@ def exclusion_hash(patterns: Column) -> Column:
     return framed_md5(F.array_sort(patterns))
 
 
+# Fixed values in the keys below: how they begin and what their parts are called.
 def _suffix(hash_: Column, name: str) -> Column:
     return F.when(hash_ == "", F.lit("")).otherwise(F.concat(F.lit(name), hash_))
 
@@ -42,11 +43,6 @@ def diff_key(repo: Column, before: Column, after: Column, exclusion: Column) ->
     return F.concat(repo, F.lit("/compared-targets/"), before, F.lit("_"), after, _suffix(exclusion, "_requests-options-"))
 
 
-def config_fingerprint(config: dict) -> str:
-    """Of what else a result depends on (strategy, seed attributes, all-targets files); part of our own paths."""
-    return hashlib.md5(repr(sorted(config.items())).encode()).hexdigest()
-
-
 def snapshot_key(remote: str, commit_ts: int, sha: str) -> str:
     """Snapshots of a remote by UTC day."""
     return f"itg/{quote(remote, safe='$&+=:@')}/{datetime.fromtimestamp(commit_ts, UTC):%Y-%m-%d}/{commit_ts}_{sha}"

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from targetry.sources.tables import store
 
-#: Rows that one numbering task sorts, about.
-RANGE_ROWS = 1_000_000
-
 
 def dense_ids(names: DataFrame, first: int = 1) -> DataFrame:
     """name, id: distinct names numbered in order from first.

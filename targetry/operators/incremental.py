@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from targetry.functions.labels import package_of
@@ -19,11 +19,12 @@ def deleted(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: Dat
     )
 
 
-def update(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: DataFrame, strict: bool = True) -> DataFrame:
+def update(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: DataFrame, strict: bool = True, sequential: tuple[str, ...] = ()) -> DataFrame:
     """previous (name, hash, own, deps, ...) with the rows of changed packages replaced by fresh ones and re-hashed.
 
     changed, gone: package. fresh has the columns of previous; its hash is not read. With strict, a dependency of a
-    fresh row that exists nowhere is an error.
+    fresh row that exists nowhere is an error. Of cycles, sequential targets are hashed first. A root column is worked out
+    anew, since targets may lose their last dependent or get a first one.
     """
     lost = store(deleted(previous, fresh, changed, gone))
     kept = previous.join(lost, "name", "left_anti").join(fresh.select("name"), "name", "left_anti")
@@ -36,9 +37,9 @@ def update(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: Data
     stale = store(merkle.dependents_of(rows, start).join(rows.select("name"), "name", "left_semi"))
     marked = rows.join(stale.select("name", F.lit(True).alias("_stale")), "name", "left")
     plain = marked.select("name", "own", "deps", "rule_type", F.when(F.col("_stale").isNull(), F.col("hash")).alias("fixed"))
-    hashes = merkle.hash_graph(store(plain))
-    return rows.drop("hash", "_fresh").join(hashes, "name").select(*previous.columns)
-
-
-def packages(names: Column) -> Column:
-    return package_of(names)
+    hashes = merkle.hash_graph(store(plain), sequential)
+    out = rows.drop("hash", "_fresh").join(hashes, "name")
+    if "root" in previous.columns:
+        found = merkle.roots(rows).select("name", F.lit(True).alias("_root"))
+        out = out.drop("root").join(found, "name", "left").withColumn("root", F.coalesce("_root", F.lit(False)))
+    return out.select(*previous.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,7 @@ def get(spark: SparkSession, base: str, key: str) -> DataFrame | None:
         return None
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)  # reads all footers
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return None
 
 

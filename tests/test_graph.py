@@ -119,7 +119,8 @@ def test_keys_and_snapshots(spark):
     assert tuple(snapshots.floor(s, "r", 8).first()) == (5, "b")
     assert snapshots.floor(s, "r", 4).count() == 0
     probes = spark.createDataFrame([("r", 5, 1), ("r", 4, 2), ("r", 100, 3)], "remote string, ts long, id int")
-    assert {r.id: r.sha for r in snapshots.floor_join(probes, s, "remote").collect()} == {1: "b", 2: None, 3: "c"}
+    for bucket in (1, 3, 1 << 20):
+        assert {r.id: r.sha for r in snapshots.floor_join(probes, s, "remote", bucket).collect()} == {1: "b", 2: None, 3: "c"}
 
 
 def test_change_verdicts(spark):
