@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame and SQL functions only: rules written by hand (license_rules), and
 grants, titles and identifiers of families of licenses.
 
-A text's words are joined by single spaces. If it holds the first word of no rule's keyword, it is left at once. Otherwise
+A text's words are joined by single spaces. If it holds the longest word of no rule's keyword, it is left at once. Otherwise
 each rule whose keyword it holds is matched as a regular expression on the lower-cased words, and a detection is suppressed if one of at least its
 priority contains its interval (of equal intervals with equal priority that of the first label in order stays).
 
@@ -124,12 +124,12 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     keywords = sorted({r[1] for r in table})
     number = {k: i for i, k in enumerate(keywords)}
     as_json = json.dumps([{"k": number[k], "x": f" (?:{x})(?= )", "p": p, "l": label, "c": c} for label, k, x, p, c in table])
-    # the gate, on the first words of keywords: every match of a rule holds its keyword as whole words
+    # the gate, on the longest words of keywords: every match of a rule holds its keyword as whole words
     joined = F.trim(F.regexp_replace(F.col(text), WORD_PATTERN.replace("[^", "["), " "))
-    first = sorted({k.split(" ")[0] for k in [*keywords, *(phrase for phrase, _ in PHRASES)]})
+    asked = sorted({max(k.split(" "), key=len) for k in [*keywords, *(phrase for phrase, _ in PHRASES)]})
     # lower() may make ASCII letters of others, which only lets more texts through
     out = docs.withColumn("_t", joined).withColumn("_all", F.split(F.lower("_t"), " "))
-    gate = F.arrays_overlap("_all", F.array(*map(F.lit, first)))
+    gate = F.arrays_overlap("_all", F.array(*map(F.lit, asked)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     out = out.withColumn(words, F.when(F.length("_t") > 0, F.size("_all")).otherwise(0).cast("long"))
     out = out.withColumn("_j", F.when(gate, F.concat(F.lit(" "), F.translate("_t", upper, upper.lower()), F.lit(" ")))).drop("_t", "_all")
