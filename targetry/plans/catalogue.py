@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from targetry.functions import keys, labels, sizes
-from targetry.operators import build, changes, dictionaries, diff, incremental, merkle, snapshots
+from targetry.operators import build, changes, dictionaries, diff, incremental, merkle, snapshots, stats
 from targetry.plans import builds, fixtures, registry
 from targetry.plans.registry import Query, query
 from targetry.sources.tables import store
@@ -168,6 +168,22 @@ def all_targets_promotion(spark, sf_dir):
     return diff.all_targets(*fixtures.pair(spark, sf_dir)).select("name", "change_type", "distance")
 
 
+@query(_sql("SELECT name, degree, CAST(coalesce(sum(degree) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT n.name, count(e.dst) AS degree FROM n LEFT JOIN e ON e.src = n.name GROUP BY n.name)"))
+def degree_offsets(spark, sf_dir):
+    return stats.degree_offsets(fixtures.graph(spark, sf_dir))
+
+
+@query(_sql("SELECT CAST(b AS DOUBLE) AS bound, (SELECT count(*) FROM (SELECT count(*) AS d FROM e GROUP BY src) WHERE d <= b) AS n FROM (SELECT unnest([1, 2, 5, 10, 20]) AS b)"))
+def degree_histogram(spark, sf_dir):
+    degree = diff.edges(fixtures.graph(spark, sf_dir)).groupBy("src").agg(F.count("*").alias("d"))
+    return stats.histogram(degree, "d", [1, 2, 5, 10, 20]).where("bound < 1000")
+
+
+@query(_sql("SELECT count(*) FILTER (r.change_type = 'CHANGE_TYPE_NEW') AS n_new, count(*) FILTER (r.change_type = 'CHANGE_TYPE_DELETED') AS n_deleted, count(*) FILTER (r.change_type = 'CHANGE_TYPE_CHANGED') AS n_changed, count(*) FILTER (s.is_seed) AS n_seeds, count(*) FILTER (distance > 0) AS n_reached, count(*) FILTER (distance < 0) AS n_unreached, max(distance) AS levels FROM r JOIN s ON s.name = r.name", _WALK, True))
+def diff_counters(spark, sf_dir):
+    return stats.counters(diff.diff(*fixtures.pair(spark, sf_dir)))
+
+
 # --- exclusion, incremental update, cycles ---
 
 _EXCLUDED = """
