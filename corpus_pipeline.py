@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; n_chars follows the text where a stage changes it.
+
+Odd cases. Null ids: such documents are judged, cleaned and mixed like others. Null and empty texts: kept by all stages
+but the classifier, which judges them by their shape, and the mix, which takes no words of them. Very long texts are read
+whole. Ties: of near-duplicates the smallest id stays. Repeated rows: judged and cleaned each on its own; of equal texts
+one stays. Empty tables: every stage gives an empty result; without labels all documents are kept, without benchmark rows
+nothing is cut. Further columns of documents are carried along whatever their names, but for those that the last stage
+adds, which are replaced.
 """
 
 from __future__ import annotations
