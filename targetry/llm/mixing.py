@@ -153,12 +153,13 @@ def mix(
 ) -> DataFrame:
     """key, size, source_size, target, placements and the columns of carry; one row per document.
 
-    prefix goes before the names of the four.
+    prefix goes before the names of the four; columns of carry that have one of these names are replaced.
 
     placements: array of struct(shard, copy, position, words), one entry for each time the document is taken; words is
     its size, or less for the one document of a source in which the last pass ends. The words of a source's entries add
     up to its target, rounded. Within a shard, documents are ordered by position.
     """
+    carry = tuple(c for c in carry if c not in [f"{prefix}{n}" for n in ("size", "source_size", "target", "placements")])
     rows = docs.select(
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN_PATTERN)), F.lit(0)).cast("long").alias("size"),
@@ -210,5 +211,7 @@ def mix(
     taken = lambda c: F.when(F.col("cut").isNotNull() & (c["copy"] == F.col("passes")), in_cut).otherwise(F.col("size"))
     entry = lambda c: F.struct(c["shard"].alias("shard"), c["copy"].alias("copy"), F.xxhash64(F.lit(SEED + 2), "_key", "_t", c["copy"]).alias("position"), taken(c).alias("words"))
     placements = F.filter(F.transform("copies", entry), lambda x: x["words"] > 0)
-    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "placements": placements}
-    return out.select(F.col("_key").alias(key), *[F.col(f"_carry_{c}").alias(c) for c in carry], *[c.alias(f"{prefix}{n}") for n, c in own.items()])
+    # no aliases here: one of a carried column's name would take the place of the column of that name in the expressions
+    own = ("size", "source_size", "target")
+    out = out.select("_key", *[f"_carry_{c}" for c in carry], *own, placements.alias("_placements"))
+    return out.toDF(key, *carry, *[f"{prefix}{c}" for c in (*own, "placements")])
