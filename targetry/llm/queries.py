@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and SQL for those that SQL can express."""
+"""The operators over their whole tables, with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from targetry.llm import decontam, embedding_dedup, jaccard, language_id, licenses, lm_score, mixing, pii, quality, url_filter
-from targetry.llm.common import table
+from targetry.llm import decontam, embedding_dedup, jaccard, language_id, licenses, lm_score, mixing, nearest, pii, quality, runs, url_filter
+from targetry.llm.common import TOKEN_PATTERN, table
 
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -91,6 +91,33 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every tenth document by the checksum of its id the words from one on are made periodic first."""
+    sum_ = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (sum_ % 10 == 0).alias("made"), F.floor(sum_ / 10).cast("long").alias("g"))
+    words = F.when(F.col("made"), F.regexp_extract_all("text", F.lit(f"({TOKEN_PATTERN})"), F.lit(1)))
+    docs = docs.withColumn("w", words).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    text = F.when(F.col("made") & (F.col("n") > 0), F.array_join(F.transform("w", word), " ")).otherwise(F.col("text"))
+    found = runs.find(docs.select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+    return found.select(F.col("query").alias("query_id"), "rank", "vec_id", F.col("distance").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -149,6 +176,33 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least,
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = o
 """
 
+#: The unsigned CRC-32 of an expression's ASCII digits, bit by bit; 3988292384 is the reversed polynomial.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))),
+  lambda c, z: list_reduce(list_prepend(xor(c, z), [CAST(0 AS BIGINT) FOR y IN range(8)]), lambda u, y: CASE WHEN u & 1 = 1 THEN xor(u >> 1, CAST(3988292384 AS BIGINT)) ELSE u >> 1 END)), CAST(4294967295 AS BIGINT))"""
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, {_CRC32.format('doc_id')} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+c AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM b),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM c),
+x AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+e AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM x u JOIN x v ON u.doc_id = v.doc_id AND u.word = v.word AND u.i < v.i),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.s <= s.s AND o.s + o.m >= s.s + s.m)),
+f AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, m := m, q := q), (-m, s, q)) AS best, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.q AND x.i < r.s + r.m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.m AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+  CAST(1000 * best.m // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda s, x: s + x)) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op13_nearest_neighbours": OP13_SQL}
