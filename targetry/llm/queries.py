@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from targetry.llm import decontam, embedding_dedup, jaccard, language_id, licenses, lm_score, mixing, nearest, pii, quality, runs, url_filter
+from targetry.llm import decontam, embedding_dedup, jaccard, language_id, licenses, lm_score, mixing, nearest, pii, prefix_trie, quality, runs, url_filter
 from targetry.llm.common import TOKEN_PATTERN, table
 
 URL_RULES = [
@@ -112,6 +112,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turns of each conversation are those of the first of its five, as many as the checksum of its id says."""
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    five = F.col("conv_id") - F.col("conv_id") % 5
+    heads = own.where(F.col("conv_id") == five).select(F.col("conv_id").alias("five"), F.slice("turns", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    none = F.slice("turns", 1, 0)
+    made = F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return prefix_trie.trie(own.withColumn("five", five).join(heads, "five", "left").select("conv_id", made.alias("turns")))
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = nearest.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -196,6 +207,21 @@ SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS B
 FROM d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, c - c % 5 AS b, {_CRC32.format('c')} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT o.c, pos, role, text FROM o JOIN t ON t.c = b WHERE pos <= h UNION ALL SELECT o.c, pos, role, text FROM o JOIN t ON t.c = o.c WHERE pos > h),
+s AS (SELECT o.c, coalesce(list(struct_pack(role := role, text := text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w FROM o LEFT JOIN r ON r.c = o.c GROUP BY o.c),
+p AS (SELECT c, len(w) AS n, unnest(range(len(w) + 1)) AS d, w FROM s),
+m AS (SELECT c, n, d, md5(CAST(list_slice(w, 1, d) AS VARCHAR) || d) AS k, CASE WHEN d > 0 THEN md5(CAST(list_slice(w, 1, d - 1) AS VARCHAR) || (d - 1)) END AS above, CASE WHEN d > 0 THEN strlen(w[d].text) ELSE 0 END AS size FROM p),
+v AS (SELECT k, d, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM m GROUP BY k, d),
+x AS (SELECT v.*, (SELECT count(*) FROM v u WHERE u.above = v.k) AS n_children FROM v),
+i AS (SELECT DISTINCT a.k AS top, b.k AS k FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d),
+z AS (SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM i JOIN x ON x.k = i.k GROUP BY top)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM x JOIN z ON z.top = x.k LEFT JOIN v u ON u.k = x.above
+"""
+
 OP13_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
 p AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda s, x: s + x)) AS score
@@ -205,4 +231,4 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op13_nearest_neighbours": OP13_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_nearest_neighbours": OP13_SQL}
