@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from targetry.sources.tables import store
+from targetry.operators.phases import Phases
+from targetry.sources import graphs
+from targetry.sources.tables import bucketed, counted, forget, store
 
 NEW, DELETED, CHANGED = "CHANGE_TYPE_NEW", "CHANGE_TYPE_DELETED", "CHANGE_TYPE_CHANGED"
 SOURCE_FILE = "source file"
+#: Changed names and edges are broadcast up to so many bytes and rows, as counted when they were stored.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 400_000
+#: Edges that a bucket has.
+BUCKET_EDGES = 1 << 20
 
 
 def _strings() -> Column:
@@ -51,65 +57,104 @@ def attributes_changed(before: Column, after: Column, allowed: list[str] | None
     return entries(before) != entries(after)
 
 
-def dependents_of_changed(changed: DataFrame, after: DataFrame) -> DataFrame:
-    """name, dep_changed (some dependency is CHANGED), source_dep_changed (some is a NEW or CHANGED source file); of
-    names with such a dependency. The changed side is small as a rule, and read before the edges are shuffled."""
-    kinds = changed.where(F.col("change_type") != DELETED).join(after.select("name", "rule_type"), "name")
-    flags = kinds.select(F.col("name").alias("dst"), (F.col("change_type") == CHANGED).alias("is_changed"), F.coalesce(F.col("rule_type") == SOURCE_FILE, F.lit(False)).alias("is_source"))
-    return edges(after).join(flags, "dst").groupBy(F.col("src").alias("name")).agg(F.max("is_changed").alias("dep_changed"), F.max("is_source").alias("source_dep_changed"))
+def _rows_of(changed: DataFrame, before: DataFrame, after: DataFrame, facts: dict) -> DataFrame:
+    """name, change_type, before, after (structs, null where there is none). Few changed names are sent to the wide rows, so
+    that only rows of theirs are shuffled."""
+    few = facts["n"] <= BROADCAST_ROWS and (facts["size"] or 0) <= BROADCAST_BYTES
 
+    def wide(df: DataFrame, alias: str) -> DataFrame:
+        rows = df.select("name", F.struct(*df.columns).alias(alias))
+        return rows.join(F.broadcast(changed.select("name")), "name", "left_semi") if few else rows
 
-def classify(before: DataFrame, after: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """name, change_type, before, after (structs, null where there is none), dep_changed, source_dep_changed,
-    dep_set_changed, attrs_changed, is_seed.
+    return changed.join(wide(before, "before"), "name", "left").join(wide(after, "after"), "name", "left")
 
-    Two passes: names and hashes first, then the wide rows of changed names only.
-    """
-    changed = store(narrow(before, after))
-    wide = lambda df, alias: df.select("name", F.struct(*df.columns).alias(alias))
-    flags = dependents_of_changed(changed, after)
-    out = changed.join(wide(before, "before"), "name", "left").join(wide(after, "after"), "name", "left").join(flags, "name", "left")
-    both = F.col("change_type") == CHANGED
-    no = F.lit(False)
+
+def _links_of(rows: DataFrame, few: bool) -> DataFrame:
+    """src, dst, is_changed, is_source: dependencies of changed targets on NEW or CHANGED ones, in the after revision;
+    repeats once. rows: as _rows_of() gives them."""
+    there = rows.where(F.col("change_type") != DELETED)
+    kinds = there.select(F.col("name").alias("dst"), (F.col("change_type") == CHANGED).alias("is_changed"), F.coalesce(F.col("after.rule_type") == SOURCE_FILE, F.lit(False)).alias("is_source"))
+    own = there.select(F.col("name").alias("src"), F.explode(F.array_distinct("after.deps")).alias("dst")).where("dst <> ''")
+    return own.join(F.broadcast(kinds) if few else kinds, "dst").select("src", "dst", "is_changed", "is_source")
+
+
+def _judged(rows: DataFrame, links: DataFrame, allowed: list[str] | None) -> DataFrame:
+    """name, change_type and the flags of a change."""
+    flags = links.groupBy(F.col("src").alias("name")).agg(F.max("is_changed").alias("dep_changed"), F.max("is_source").alias("source_dep_changed"))
+    out = rows.join(flags, "name", "left")
+    both, no = F.col("change_type") == CHANGED, F.lit(False)
     out = out.select(
         "name",
         "change_type",
-        "before",
-        "after",
         (both & F.coalesce("dep_changed", no)).alias("dep_changed"),
         (both & F.coalesce("source_dep_changed", no)).alias("source_dep_changed"),
         (both & deps_changed(F.col("before.deps"), F.col("after.deps"))).alias("dep_set_changed"),
         (both & attributes_changed(F.col("before.attributes"), F.col("after.attributes"), allowed)).alias("attrs_changed"),
+        F.coalesce(F.col("after.rule_type") == SOURCE_FILE, no).alias("_source"),
     )
-    source = F.coalesce(F.col("after.rule_type") == SOURCE_FILE, no)
-    seed = ~both | source | ~F.col("dep_changed") | F.col("dep_set_changed") | F.col("source_dep_changed") | F.col("attrs_changed")
-    return out.withColumn("is_seed", seed)
+    seed = ~both | F.col("_source") | ~F.col("dep_changed") | F.col("dep_set_changed") | F.col("source_dep_changed") | F.col("attrs_changed")
+    return out.withColumn("is_seed", seed).drop("_source")
+
+
+def _aligned(before: DataFrame, after: DataFrame, phases: Phases) -> tuple[DataFrame, DataFrame, bool, int]:
+    """Rows of what changed, links among it, whether it is few, and how many links there are; both are stored. Nothing else
+    of the graphs is read: flags and distances ask for dependencies of changed targets on changed targets alone."""
+    with phases.phase("hash_diff"):
+        changed, facts = counted(narrow(before, after), size=F.sum(F.octet_length("name")))
+        phases.add("hash_diff", changed=facts["n"])
+    few = facts["n"] <= BROADCAST_ROWS and (facts["size"] or 0) <= BROADCAST_BYTES
+    with phases.phase("rows"):
+        rows = store(_rows_of(changed, before, after, facts))
+        forget(changed)
+    with phases.phase("reverse"):
+        links, seen = counted(_links_of(rows, few))
+        phases.add("reverse", links=seen["n"])
+    return rows, links, few, seen["n"]
+
+
+def classify(before: DataFrame, after: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """name, change_type, before, after (structs, null where there is none), dep_changed, source_dep_changed,
+    dep_set_changed, attrs_changed, is_seed.
+
+    Names and hashes first, then the wide rows of changed names only.
+    """
+    rows, links, _, _ = _aligned(before, after, Phases(before.sparkSession))
+    return rows.join(_judged(rows, links, allowed).drop("change_type"), "name")
 
 
-def distances(changed: DataFrame, after: DataFrame, max_distance: int = -1) -> DataFrame:
+def distances(changed: DataFrame, links: DataFrame, max_distance: int = -1, n_links: int | None = None, phases: Phases | None = None) -> DataFrame:
     """name, distance: seeds 0, else the fewest steps over dependents of the after revision, entering changed targets
     only; -1 where none leads there, or none of at most max_distance steps.
 
-    changed: name, is_seed. Edges are cut down to those whose dependent changed before the first step, dealt by their
-    dependency once, and each level is stored.
+    changed: name, is_seed. links: src, dst among changed targets; many are stored in buckets of dst, so that a level shuffles
+    its frontier and never the links. Each level is stored.
     """
-    known = store(changed.select("name", F.when(F.col("is_seed"), 0).otherwise(-1).alias("distance")))
-    near = store(edges(after).join(known.select(F.col("name").alias("src")), "src").select("src", "dst").distinct())
-    frontier, level, reached = known.where("distance = 0").select("name"), 0, [known.where("distance = 0")]
-    while max_distance < 0 or level < max_distance:
-        level += 1
+    phases = phases or Phases(changed.sparkSession)
+    with phases.phase("bfs"):
+        known = changed.select("name", F.when(F.col("is_seed"), 0).otherwise(-1).alias("distance"))
+        if n_links == 0:
+            return known
+        near = links.select("src", "dst")
+        if n_links is None or n_links > BUCKET_EDGES // 4:
+            cores = changed.sparkSession.sparkContext.defaultParallelism
+            near = bucketed(near.distinct(), "dst", max(cores, -(-(n_links or 0) // BUCKET_EDGES)))
+        level, reached = 0, [known.where("distance = 0")]
+        frontier = reached[0].select("name")
+        while max_distance < 0 or level < max_distance:
+            level += 1
+            seen = reached[0]
+            for r in reached[1:]:
+                seen = seen.union(r)
+            step = near.join(frontier.select(F.col("name").alias("dst")), "dst").select(F.col("src").alias("name")).distinct()
+            frontier, facts = counted(step.join(seen.select("name"), "name", "left_anti"))
+            phases.add("bfs", reached=facts["n"], levels=int(facts["n"] > 0))
+            if not facts["n"]:
+                break
+            reached.append(frontier.select("name", F.lit(level).alias("distance")))
         seen = reached[0]
         for r in reached[1:]:
             seen = seen.union(r)
-        step = near.join(frontier.select(F.col("name").alias("dst")), "dst").select(F.col("src").alias("name")).distinct()
-        frontier = store(step.join(seen.select("name"), "name", "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached.append(frontier.select("name", F.lit(level).alias("distance")))
-    seen = reached[0]
-    for r in reached[1:]:
-        seen = seen.union(r)
-    return known.select("name").join(seen, "name", "left").select("name", F.coalesce("distance", F.lit(-1)).alias("distance"))
+        return known.select("name").join(seen, "name", "left").select("name", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
 def within(changed: DataFrame, max_distance: int) -> DataFrame:
@@ -117,10 +162,18 @@ def within(changed: DataFrame, max_distance: int) -> DataFrame:
     return changed if max_distance < 0 else changed.where(F.col("distance").between(0, max_distance))
 
 
-def diff(before: DataFrame, after: DataFrame, max_distance: int = -1, allowed: list[str] | None = None) -> DataFrame:
-    """name, change_type, before, after, is_seed, distance."""
-    changed = store(classify(before, after, allowed).select("name", "change_type", "before", "after", "is_seed"))
-    return changed.join(distances(changed.select("name", "is_seed"), after, max_distance), "name").orderBy("name")
+def diff(before: DataFrame | graphs.Graph, after: DataFrame | graphs.Graph, max_distance: int = -1, allowed: list[str] | None = None, phases: Phases | None = None) -> DataFrame:
+    """name, change_type, before, after, is_seed, distance; by name. Of stored graphs only groups whose digests differ are
+    read. phases gets times and counts."""
+    phases = phases or Phases(before.spark if isinstance(before, graphs.Graph) else before.sparkSession)
+    with phases.phase("align"):
+        before, after = graphs.pruned(before, after) if isinstance(before, graphs.Graph) else (before, after)
+    rows, links, _, n_links = _aligned(before, after, phases)
+    with phases.phase("seed"):
+        seeds, facts = counted(_judged(rows, links, allowed).select("name", "is_seed"), seeds=F.count_if("is_seed"))
+        phases.add("seed", seeds=facts["seeds"])
+    reach = distances(seeds, links, max_distance, n_links, phases)
+    return rows.join(seeds, "name").join(reach, "name").orderBy("name")
 
 
 def all_targets(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _stored: set[tuple[SparkSession, str]] = set()
 
@@ -31,11 +32,32 @@ def store(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """store(df), and n, the number of its rows, with further facts about them: aggregates that are observed by the job that
+    writes them. Null where there are no rows."""
+    seen = Observation()
+    out = store(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in facts.items()]))
+    return out, seen.get
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df stored in buckets of a column: joins on it shuffle the other side alone."""
+    name = f"targetry_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _stored.add((df.sparkSession, path))
+    out = df.sparkSession.table(name)
+    out._targetry_path, out._targetry_table = path, name
+    return out
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_targetry_path", None)
         if path:
+            if hasattr(df, "_targetry_table"):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._targetry_table}")
             delete(df.sparkSession, path)
             _stored.discard((df.sparkSession, path))
 
@@ -50,6 +72,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, null if there is none; read by Hadoop's file system, without a job."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(p):
+        return None
+    stream = files.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is seen as a whole or not at all: written beside its place, then renamed."""
+    jvm = spark.sparkContext._jvm
+    p, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    files.delete(p, False)
+    if not files.rename(beside, p):
+        raise OSError(f"{path} can't be written")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_stored):
