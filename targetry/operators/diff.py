@@ -7,12 +7,12 @@ count as `""`. Dependencies may name targets that don't exist.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from targetry.operators.phases import Phases
 from targetry.sources import graphs
-from targetry.sources.tables import bucketed, counted, forget, store
+from targetry.sources.tables import bucketed, counted, store
 
 NEW, DELETED, CHANGED = "CHANGE_TYPE_NEW", "CHANGE_TYPE_DELETED", "CHANGE_TYPE_CHANGED"
 SOURCE_FILE = "source file"
@@ -21,6 +21,13 @@ BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 400_000
 #: Edges that a bucket has.
 BUCKET_EDGES = 1 << 20
 
+#: A table, or a stored graph.
+Revision = DataFrame | graphs.Graph
+
+
+def _session(revision: Revision) -> SparkSession:
+    return revision.spark if isinstance(revision, graphs.Graph) else revision.sparkSession
+
 
 def _strings() -> Column:
     return F.array().cast("array<string>")
@@ -57,104 +64,125 @@ def attributes_changed(before: Column, after: Column, allowed: list[str] | None
     return entries(before) != entries(after)
 
 
-def _rows_of(changed: DataFrame, before: DataFrame, after: DataFrame, facts: dict) -> DataFrame:
-    """name, change_type, before, after (structs, null where there is none). Few changed names are sent to the wide rows, so
-    that only rows of theirs are shuffled."""
-    few = facts["n"] <= BROADCAST_ROWS and (facts["size"] or 0) <= BROADCAST_BYTES
+def _wide(df: DataFrame, alias: str) -> DataFrame:
+    return df.select("name", F.struct(*df.columns).alias(alias))
 
-    def wide(df: DataFrame, alias: str) -> DataFrame:
-        rows = df.select("name", F.struct(*df.columns).alias(alias))
-        return rows.join(F.broadcast(changed.select("name")), "name", "left_semi") if few else rows
 
-    return changed.join(wide(before, "before"), "name", "left").join(wide(after, "after"), "name", "left")
+def _narrow_first(before: DataFrame, after: DataFrame, phases: Phases) -> DataFrame:
+    """Rows of what changed: names and hashes are joined first. Few changed names are then sent to the wide rows, so that only
+    rows of theirs are shuffled."""
+    with phases.phase("hash_diff"):
+        changed, facts = counted(narrow(before, after), size=F.sum(F.octet_length("name")))
+    few = facts["n"] <= BROADCAST_ROWS and (facts["size"] or 0) <= BROADCAST_BYTES
+    own = lambda df: df.join(F.broadcast(changed.select("name")), "name", "left_semi") if few else df
+    return changed.join(own(_wide(before, "before")), "name", "left").join(own(_wide(after, "after")), "name", "left")
 
 
-def _links_of(rows: DataFrame, few: bool) -> DataFrame:
-    """src, dst, is_changed, is_source: dependencies of changed targets on NEW or CHANGED ones, in the after revision;
-    repeats once. rows: as _rows_of() gives them."""
-    there = rows.where(F.col("change_type") != DELETED)
-    kinds = there.select(F.col("name").alias("dst"), (F.col("change_type") == CHANGED).alias("is_changed"), F.coalesce(F.col("after.rule_type") == SOURCE_FILE, F.lit(False)).alias("is_source"))
-    own = there.select(F.col("name").alias("src"), F.explode(F.array_distinct("after.deps")).alias("dst")).where("dst <> ''")
-    return own.join(F.broadcast(kinds) if few else kinds, "dst").select("src", "dst", "is_changed", "is_source")
+def _at_once(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The same, by one join of the wide rows."""
+    hash_ = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"{c}.hash"), F.lit("")))
+    both = _wide(before, "before").join(_wide(after, "after"), "name", "full_outer").where(~hash_("before").eqNullSafe(hash_("after")))
+    kind = F.when(F.col("before").isNull(), NEW).when(F.col("after").isNull(), DELETED).otherwise(CHANGED)
+    return both.select("name", kind.alias("change_type"), "before", "after")
 
 
-def _judged(rows: DataFrame, links: DataFrame, allowed: list[str] | None) -> DataFrame:
-    """name, change_type and the flags of a change."""
-    flags = links.groupBy(F.col("src").alias("name")).agg(F.max("is_changed").alias("dep_changed"), F.max("is_source").alias("source_dep_changed"))
-    out = rows.join(flags, "name", "left")
+def _changed(before: Revision, after: Revision, allowed: list[str] | None, phases: Phases) -> tuple[DataFrame, dict]:
+    """Rows of what changed, stored: name, change_type, before, after (structs, null where there is none), dep_set_changed,
+    attrs_changed, is_source; and facts about them. Of stored graphs groups whose digests differ are read, at once if these
+    are few or all; if some are left out but most are not, changes are few for the rows."""
+    share = 0.9
+    with phases.phase("align"):
+        if isinstance(before, graphs.Graph):
+            before, after, share = graphs.pruned(before, after)
+    rows = _at_once(before, after) if share == 1 or share <= graphs.MOST_PRUNED else _narrow_first(before, after, phases)
     both, no = F.col("change_type") == CHANGED, F.lit(False)
-    out = out.select(
-        "name",
-        "change_type",
-        (both & F.coalesce("dep_changed", no)).alias("dep_changed"),
-        (both & F.coalesce("source_dep_changed", no)).alias("source_dep_changed"),
-        (both & deps_changed(F.col("before.deps"), F.col("after.deps"))).alias("dep_set_changed"),
-        (both & attributes_changed(F.col("before.attributes"), F.col("after.attributes"), allowed)).alias("attrs_changed"),
-        F.coalesce(F.col("after.rule_type") == SOURCE_FILE, no).alias("_source"),
-    )
-    seed = ~both | F.col("_source") | ~F.col("dep_changed") | F.col("dep_set_changed") | F.col("source_dep_changed") | F.col("attrs_changed")
-    return out.withColumn("is_seed", seed).drop("_source")
-
-
-def _aligned(before: DataFrame, after: DataFrame, phases: Phases) -> tuple[DataFrame, DataFrame, bool, int]:
-    """Rows of what changed, links among it, whether it is few, and how many links there are; both are stored. Nothing else
-    of the graphs is read: flags and distances ask for dependencies of changed targets on changed targets alone."""
-    with phases.phase("hash_diff"):
-        changed, facts = counted(narrow(before, after), size=F.sum(F.octet_length("name")))
-        phases.add("hash_diff", changed=facts["n"])
-    few = facts["n"] <= BROADCAST_ROWS and (facts["size"] or 0) <= BROADCAST_BYTES
     with phases.phase("rows"):
-        rows = store(_rows_of(changed, before, after, facts))
-        forget(changed)
+        rows = rows.select(
+            "name", "change_type", "before", "after",
+            (both & deps_changed(F.col("before.deps"), F.col("after.deps"))).alias("dep_set_changed"),
+            (both & attributes_changed(F.col("before.attributes"), F.col("after.attributes"), allowed)).alias("attrs_changed"),
+            F.coalesce(F.col("after.rule_type") == SOURCE_FILE, no).alias("is_source"),
+        )
+        out, facts = counted(rows, size=F.sum(F.octet_length("name")), deps=F.sum(F.size(F.coalesce("after.deps", _strings()))))
+        phases.add("rows", changed=facts["n"])
+    return out, facts
+
+
+def _links(rows: DataFrame, facts: dict, phases: Phases) -> tuple[DataFrame | None, int]:
+    """src, dst, is_changed, is_source: dependencies of changed targets on NEW or CHANGED ones in the after revision, repeats
+    once, stored; and their number. None if there are none. Flags and distances ask for no others."""
+    if not facts["deps"]:
+        return None, 0
     with phases.phase("reverse"):
-        links, seen = counted(_links_of(rows, few))
+        there = rows.where(F.col("change_type") != DELETED)
+        kinds = there.select(F.col("name").alias("dst"), (F.col("change_type") == CHANGED).alias("is_changed"), "is_source")
+        few = facts["n"] <= BROADCAST_ROWS and facts["size"] <= BROADCAST_BYTES
+        own = there.select(F.col("name").alias("src"), F.explode(F.array_distinct("after.deps")).alias("dst")).where("dst <> ''")
+        links, seen = counted(own.join(F.broadcast(kinds) if few else kinds, "dst").select("src", "dst", "is_changed", "is_source"))
         phases.add("reverse", links=seen["n"])
-    return rows, links, few, seen["n"]
+    return (links, seen["n"]) if seen["n"] else (None, 0)
 
 
-def classify(before: DataFrame, after: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """name, change_type, before, after (structs, null where there is none), dep_changed, source_dep_changed,
-    dep_set_changed, attrs_changed, is_seed.
+def _judged(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """name, the flags of a change and is_seed."""
+    both, no = F.col("change_type") == CHANGED, F.lit(False)
+    if links is None:
+        out = rows.withColumns({"dep_changed": no, "source_dep_changed": no})
+    else:
+        flags = links.groupBy(F.col("src").alias("name")).agg(F.max("is_changed").alias("dep_changed"), F.max(links["is_source"]).alias("source_dep_changed"))
+        out = rows.join(flags, "name", "left").withColumns({c: both & F.coalesce(c, no) for c in ("dep_changed", "source_dep_changed")})
+    seed = ~both | F.col("is_source") | ~F.col("dep_changed") | F.col("dep_set_changed") | F.col("source_dep_changed") | F.col("attrs_changed")
+    return out.select("name", "dep_changed", "source_dep_changed", "dep_set_changed", "attrs_changed", seed.alias("is_seed"))
 
-    Names and hashes first, then the wide rows of changed names only.
-    """
-    rows, links, _, _ = _aligned(before, after, Phases(before.sparkSession))
-    return rows.join(_judged(rows, links, allowed).drop("change_type"), "name")
+
+def _judged_whole(rows: DataFrame) -> DataFrame:
+    """name, change_type, before, after, is_seed where no changed target depends on another: without a join."""
+    judged = _judged(rows.withColumn("name", F.struct("name", "change_type", "before", "after")), None)
+    return judged.select("name.*", "is_seed")
+
+
+def classify(before: Revision, after: Revision, allowed: list[str] | None = None) -> DataFrame:
+    """name, change_type, before, after (structs, null where there is none), dep_changed, source_dep_changed,
+    dep_set_changed, attrs_changed, is_seed."""
+    phases = Phases(_session(before))
+    rows, facts = _changed(before, after, allowed, phases)
+    judged = _judged(rows, _links(rows, facts, phases)[0])
+    return rows.select("name", "change_type", "before", "after").join(judged, "name")
 
 
 def distances(changed: DataFrame, links: DataFrame, max_distance: int = -1, n_links: int | None = None, phases: Phases | None = None) -> DataFrame:
     """name, distance: seeds 0, else the fewest steps over dependents of the after revision, entering changed targets
     only; -1 where none leads there, or none of at most max_distance steps.
 
-    changed: name, is_seed. links: src, dst among changed targets; many are stored in buckets of dst, so that a level shuffles
-    its frontier and never the links. Each level is stored.
+    changed: name, is_seed. links: src, dst among changed targets. Only links of others than seeds are walked; many are
+    stored in buckets of dst, so that a level shuffles its frontier and never the links. Each level is stored.
     """
     phases = phases or Phases(changed.sparkSession)
     with phases.phase("bfs"):
+        waiting = changed.where("NOT is_seed").select("name")
         known = changed.select("name", F.when(F.col("is_seed"), 0).otherwise(-1).alias("distance"))
-        if n_links == 0:
+        if n_links == 0 or waiting.isEmpty():
             return known
-        near = links.select("src", "dst")
+        near = links.join(waiting.select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst").distinct()
         if n_links is None or n_links > BUCKET_EDGES // 4:
-            cores = changed.sparkSession.sparkContext.defaultParallelism
-            near = bucketed(near.distinct(), "dst", max(cores, -(-(n_links or 0) // BUCKET_EDGES)))
-        level, reached = 0, [known.where("distance = 0")]
-        frontier = reached[0].select("name")
+            near = bucketed(near, "dst", max(changed.sparkSession.sparkContext.defaultParallelism, -(-(n_links or 0) // BUCKET_EDGES)))
+        else:
+            near = store(near)
+        frontier, level, reached = changed.where("is_seed").select("name"), 0, []
         while max_distance < 0 or level < max_distance:
             level += 1
-            seen = reached[0]
-            for r in reached[1:]:
-                seen = seen.union(r)
             step = near.join(frontier.select(F.col("name").alias("dst")), "dst").select(F.col("src").alias("name")).distinct()
-            frontier, facts = counted(step.join(seen.select("name"), "name", "left_anti"))
+            for r in reached:
+                step = step.join(r.select("name"), "name", "left_anti")
+            frontier, facts = counted(step)
             phases.add("bfs", reached=facts["n"], levels=int(facts["n"] > 0))
             if not facts["n"]:
                 break
             reached.append(frontier.select("name", F.lit(level).alias("distance")))
-        seen = reached[0]
-        for r in reached[1:]:
-            seen = seen.union(r)
-        return known.select("name").join(seen, "name", "left").select("name", F.coalesce("distance", F.lit(-1)).alias("distance"))
+        out = known.where("distance = 0")
+        for r in reached:
+            out = out.union(r)
+        return known.select("name").join(out, "name", "left").select("name", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
 def within(changed: DataFrame, max_distance: int) -> DataFrame:
@@ -162,18 +190,21 @@ def within(changed: DataFrame, max_distance: int) -> DataFrame:
     return changed if max_distance < 0 else changed.where(F.col("distance").between(0, max_distance))
 
 
-def diff(before: DataFrame | graphs.Graph, after: DataFrame | graphs.Graph, max_distance: int = -1, allowed: list[str] | None = None, phases: Phases | None = None) -> DataFrame:
+def diff(before: Revision, after: Revision, max_distance: int = -1, allowed: list[str] | None = None, phases: Phases | None = None) -> DataFrame:
     """name, change_type, before, after, is_seed, distance; by name. Of stored graphs only groups whose digests differ are
     read. phases gets times and counts."""
-    phases = phases or Phases(before.spark if isinstance(before, graphs.Graph) else before.sparkSession)
-    with phases.phase("align"):
-        before, after = graphs.pruned(before, after) if isinstance(before, graphs.Graph) else (before, after)
-    rows, links, _, n_links = _aligned(before, after, phases)
+    phases = phases or Phases(_session(before))
+    rows, facts = _changed(before, after, allowed, phases)
+    links, n_links = _links(rows, facts, phases)
+    kept = rows.select("name", "change_type", "before", "after")
+    if links is None:  # nothing that changed depends on another change
+        return _judged_whole(rows).withColumn("distance", F.when(F.col("is_seed"), 0).otherwise(-1)).orderBy("name")
     with phases.phase("seed"):
-        seeds, facts = counted(_judged(rows, links, allowed).select("name", "is_seed"), seeds=F.count_if("is_seed"))
+        seeds, facts = counted(_judged(rows, links).select("name", "is_seed"), seeds=F.count_if("is_seed"))
         phases.add("seed", seeds=facts["seeds"])
     reach = distances(seeds, links, max_distance, n_links, phases)
-    return rows.join(seeds, "name").join(reach, "name").orderBy("name")
+    # seeds are those at no distance
+    return kept.join(reach, "name").select("name", "change_type", "before", "after", (F.col("distance") == 0).alias("is_seed"), "distance").orderBy("name")
 
 
 def all_targets(before: DataFrame, after: DataFrame) -> DataFrame:

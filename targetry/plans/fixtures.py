@@ -5,11 +5,14 @@ The node and edge tables are SQL that Spark and DuckDB both run, over integers a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from targetry.operators import merkle
-from targetry.sources.tables import store
+from targetry.sources import graphs
+from targetry.sources.tables import shared_dir, store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -84,6 +87,14 @@ def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _made[key]
 
 
+def stored_pair(spark: SparkSession, sf_dir: str) -> tuple[graphs.Graph, graphs.Graph]:
+    """Both revisions as stored graphs of one layout."""
+    before, after = pair(spark, sf_dir)
+    base = f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    first = graphs.put(before, base, "before")
+    return first, graphs.put(after, base, "after", like=first)
+
+
 def sql_tables() -> str:
     """The same tables as common table expressions: n, e (before), m, f (after), and hashes hb, ha; sql() adds to them."""
     plain = {t: t for t in TABLES}

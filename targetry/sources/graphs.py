@@ -65,20 +65,15 @@ class Graph:
     schema: T.StructType
 
     def rows(self, files: list[str] | None = None) -> DataFrame:
-        """All rows, or those of some files, by name."""
-        read = self.spark.read.schema(self.schema)
-        if files is None:
-            return read.parquet(f"{self.path}/rows")
-        if not files:
-            return self.spark.createDataFrame([], self.schema)
-        return read.parquet(*[f"{self.path}/rows/{f}" for f in files])
+        """All rows, or those of some files, by name. The folder is listed once; other files are left out when the scan is
+        planned."""
+        all_ = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+        return all_ if files is None else all_.where(F.col("_metadata.file_name").isin(files))
 
     def digests(self, groups: int | None = None) -> DataFrame:
-        """group, n, one, two, files: folded to fewer groups if asked."""
+        """group (folded to fewer groups if asked), file, n, one, two."""
         d = self.spark.read.schema("group int, file string, n long, one long, two long").parquet(f"{self.path}/digests")
-        return d.groupBy((F.col("group") % (groups or self.layout.groups)).alias("group")).agg(
-            F.sum("n").alias("n"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"), F.collect_set("file").alias("files")
-        )
+        return d.withColumn("group", F.col("group") % (groups or self.layout.groups))
 
 
 def put(targets: DataFrame, base: str, key: str, like: Graph | None = None) -> Graph:
@@ -111,22 +106,28 @@ def get(spark: SparkSession, base: str, key: str) -> Graph | None:
 
 
 def differing(before: Graph, after: Graph) -> DataFrame | None:
-    """group, before_files, after_files of groups whose digests differ; None if the layouts can't be compared."""
+    """group, before_files, after_files of groups whose digests differ; None if the layouts can't be compared. Equal digests
+    of both sides cancel out, so that one aggregation compares them."""
     if before.layout.spread != after.layout.spread:
         return None
     groups = min(before.layout.groups, after.layout.groups)
-    b, a = before.digests(groups), after.digests(groups)
-    same = F.col("b.n").eqNullSafe(F.col("a.n")) & F.col("b.one").eqNullSafe(F.col("a.one")) & F.col("b.two").eqNullSafe(F.col("a.two"))
-    return b.alias("b").join(a.alias("a"), "group", "full_outer").where(~same).select("group", F.col("b.files").alias("before_files"), F.col("a.files").alias("after_files"))
+    side = lambda g, sign: g.digests(groups).withColumn("n", F.col("n") * sign).withColumn("old", F.lit(sign > 0))
+    files = lambda old: F.collect_set(F.when(F.col("old") == old, F.col("file")))
+    both = side(before, 1).union(side(after, -1)).groupBy("group").agg(
+        F.sum("n").alias("n"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"), files(True).alias("before_files"), files(False).alias("after_files")
+    )
+    return both.where("n <> 0 OR one <> 0 OR two <> 0").select("group", "before_files", "after_files")
 
 
-def pruned(before: Graph, after: Graph) -> tuple[DataFrame, DataFrame]:
-    """Rows of both graphs, without groups whose digests agree: of those, names and hashes are the same. File names of
-    differing groups, a few for each of MOST_GROUPS at most, pass through the driver."""
+def pruned(before: Graph, after: Graph) -> tuple[DataFrame, DataFrame, float]:
+    """Rows of both graphs, without groups whose digests agree: of those, names and hashes are the same; and the share of
+    groups that differ. File names of differing groups, a few for each of MOST_GROUPS at most, pass through the driver."""
     found = differing(before, after)
-    groups = min(before.layout.groups, after.layout.groups)
-    rows = found.collect() if found is not None else None
-    if rows is None or len(rows) > MOST_PRUNED * groups:
-        return before.rows(), after.rows()
-    files = lambda c: sorted({f for r in rows for f in r[c] or ()})
-    return before.rows(files("before_files")), after.rows(files("after_files"))
+    if found is None:
+        return before.rows(), after.rows(), 1.0
+    rows = found.collect()
+    share = len(rows) / min(before.layout.groups, after.layout.groups)
+    if share > MOST_PRUNED:
+        return before.rows(), after.rows(), share
+    files = lambda c: sorted({f for r in rows for f in r[c]})
+    return before.rows(files("before_files")), after.rows(files("after_files")), share
