@@ -179,10 +179,10 @@ def degree_offsets(spark, sf_dir):
     return stats.degree_offsets(fixtures.graph(spark, sf_dir))
 
 
-@query(_sql("SELECT CAST(b AS DOUBLE) AS bound, (SELECT count(*) FROM (SELECT count(*) AS d FROM e GROUP BY src) WHERE d <= b) AS n FROM (SELECT unnest([1, 2, 5, 10, 20, 'inf'::DOUBLE]) AS b)"))
+@query(_sql("SELECT b AS bound, (SELECT count(*) FROM (SELECT count(*) AS d FROM e GROUP BY src) WHERE d <= CAST(b AS DOUBLE)) AS n FROM (SELECT unnest(['1.0', '2.0', '5.0', '10.0', '20.0', 'Infinity']) AS b)"))
 def degree_histogram(spark, sf_dir):
     degree = diff.edges(fixtures.graph(spark, sf_dir)).groupBy("src").agg(F.count("*").alias("d"))
-    return stats.histogram(degree, "d", [1, 2, 5, 10, 20])
+    return stats.histogram(degree, "d", [1, 2, 5, 10, 20]).withColumn("bound", F.col("bound").cast("string"))
 
 
 @query(_sql("SELECT count(*) FILTER (r.change_type = 'CHANGE_TYPE_NEW') AS n_new, count(*) FILTER (r.change_type = 'CHANGE_TYPE_DELETED') AS n_deleted, count(*) FILTER (r.change_type = 'CHANGE_TYPE_CHANGED') AS n_changed, count(*) FILTER (s.is_seed) AS n_seeds, count(*) FILTER (distance > 0) AS n_reached, count(*) FILTER (distance < 0) AS n_unreached, max(distance) AS levels FROM r JOIN s ON s.name = r.name", _WALK, True))
