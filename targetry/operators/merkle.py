@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from targetry.functions.labels import can_be_root
+from targetry.operators import numbered
 from targetry.operators.components import components
 from targetry.operators.diff import edges
-from targetry.sources.tables import store
+from targetry.sources.tables import bucketed, counted, store
 
 
 def roots(targets: DataFrame) -> DataFrame:
@@ -33,10 +34,9 @@ def unreached(targets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def topological_order(targets: DataFrame) -> DataFrame:
     """name, level: dependencies have lower levels; what reaches a cycle has none. Sorted by level and name."""
-    links = edges(targets).join(targets.select(F.col("name").alias("dst")), "dst", "left_semi")
-    plain = targets.select("name", F.encode("name", "utf-8").alias("own"), F.lit(None).cast("string").alias("fixed"))
-    levels, rest = hash_levels(plain, links)
-    return levels.select("name", "level").union(rest.select("name", F.lit(None).cast("int"))).orderBy(F.col("level").asc_nulls_last(), "name")
+    g = numbered.graph(targets.select("name", "deps"))
+    found = numbered.levels(g)[0]
+    return g.nodes.join(found, "id", "left").select("name", "level").orderBy(F.col("level").asc_nulls_last(), "name")
 
 
 def in_degree(targets: DataFrame) -> DataFrame:
@@ -48,18 +48,9 @@ def reverse_adjacency(targets: DataFrame) -> DataFrame:
 
 
 def reach(links: DataFrame, start: DataFrame) -> DataFrame:
-    """name of all that start (name) leads to over links (a, b), start included."""
-    seen = store(start.select("name").distinct())
-    frontier, parts = seen, [seen]
-    while True:
-        step = links.join(frontier.select(F.col("name").alias("a")), "a").select(F.col("b").alias("name")).distinct()
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.union(p)
-        frontier = store(step.join(known, "name", "left_anti"))
-        if frontier.isEmpty():
-            return known
-        parts.append(frontier)
+    """name of all that start (name) leads to over links (a, b), start included. Links are stored once, in buckets of a."""
+    near = bucketed(links.select("a", "b"), "a", links.sparkSession.sparkContext.defaultParallelism)
+    return numbered.spread(near, start.select(F.col("name").alias("id"))).select(F.col("id").alias("name"))
 
 
 def dependencies_of(targets: DataFrame, start: DataFrame) -> DataFrame:
@@ -75,20 +66,24 @@ def hash_levels(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
 
     nodes: name, own (binary to hash first; null: the hash is that of the only dependency), fixed (a hash that is given,
     hex or empty; null if it is to be computed). links: src, dst, ord. A fixed node doesn't wait for its dependencies.
-    hash = sha1(own, then the dependencies' hashes in order of name, repeats included), hex. A level joins the edges to
-    the level below alone and groups the targets that got something from it; what they wait with is carried along.
+    hash = sha1(own, then the dependencies' hashes in order of name, repeats included), hex. A level joins the edges,
+    which are stored in buckets of dst and so never shuffled, to the level below alone and groups the targets that got
+    something from it; what they wait with is carried along.
     """
     given = store(nodes.where("fixed IS NOT NULL").select("name", F.col("fixed").alias("hash"), F.lit(0).alias("level")))
     open_ = nodes.where("fixed IS NULL").select("name", "own")
-    ask = store(links.join(open_.select(F.col("name").alias("src")), "src").select("src", "dst", "ord"))
+    ask = bucketed(links.join(open_.select(F.col("name").alias("src")), "src").select("src", "dst", "ord"), "dst", links.sparkSession.sparkContext.defaultParallelism)
     want = open_.join(ask.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n")), "name", "left")
     want = store(want.select("name", "own", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
     first = want.where("n = 0").select("name", F.coalesce(F.sha1("own"), F.lit("")).alias("hash"), F.lit(0).alias("level"))
     waits = want.where("n > 0")
-    done, state, newest, level = [given, first], None, given.union(first), 0
+    done, state, newest, level, size = [given, first], None, given.union(first), 0, None
     while True:
         level += 1
-        step = ask.join(newest.select(F.col("name").alias("dst"), "hash"), "dst").select(F.col("src").alias("name"), F.struct("dst", "ord", "hash").alias("part"))
+        near = newest.select(F.col("name").alias("dst"), "hash")
+        if size is not None and size <= numbered.BROADCAST_NODES:
+            near = F.broadcast(near)
+        step = ask.join(near, "dst").select(F.col("src").alias("name"), F.struct("dst", "ord", "hash").alias("part"))
         parts = step.groupBy("name").agg(F.collect_list("part").alias("parts"))
         now = waits.join(parts, "name")
         if state is not None:  # those that waited already, also if nothing came
@@ -98,9 +93,10 @@ def hash_levels(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
             now = now.withColumn("parts", F.concat(F.coalesce("held", none), F.coalesce("parts", none))).drop("held")
         below = F.array_join(F.transform(F.array_sort("parts"), lambda x: x["hash"]), "")
         hash_ = F.when(F.size("parts") == F.col("n"), F.when(F.col("own").isNull(), F.array_sort("parts")[0]["hash"]).otherwise(F.sha1(F.concat("own", F.unhex(below)))))
-        state = store(now.select("name", hash_.alias("hash"), F.when(hash_.isNull(), F.col("parts")).alias("parts"), "own", "n"))
+        state, facts = counted(now.select("name", hash_.alias("hash"), F.when(hash_.isNull(), F.col("parts")).alias("parts"), "own", "n"), hashed=F.count("hash"))
         newest = state.where("hash IS NOT NULL").select("name", "hash", F.lit(level).alias("level"))
-        if newest.isEmpty():
+        size = facts["hashed"]
+        if not size:
             break
         done.append(newest)
     out = done[0]

@@ -12,7 +12,7 @@ from targetry.functions import canonical, sizes
 from targetry.operators import build, chunks, diff, merkle, responses
 from targetry.plans import fixtures
 from targetry.plans.registry import query
-from targetry.sources import parsers
+from targetry.sources import parsers, wire
 from targetry.sources.tables import store
 
 RULES = ("nation", "customer", "supplier", "order")
@@ -119,11 +119,27 @@ _RULE_ROWS = f"""SELECT n.name, n.rule_type AS class, n.own AS env, n.tier, n.k
   FROM n LEFT JOIN (SELECT src, list(dst) AS deps FROM e GROUP BY src) d ON d.src = n.name WHERE n.{_IS_RULE}"""
 
 
-@query(_sql(f"""SELECT n.name, n.rule_type, coalesce(d.deps, '') AS deps, CASE WHEN {_IS_RULE} THEN 't' || right(CAST(k AS VARCHAR), 1) || ',all' ELSE '' END AS tags,
- CASE WHEN {_IS_RULE} THEN 'tier=' || tier ELSE '' END AS attributes, false AS external FROM n LEFT JOIN (SELECT src, string_agg(dst, ',' ORDER BY dst) AS deps FROM e GROUP BY src) d ON d.src = n.name"""))
+_CONVERTED = _sql(f"""SELECT n.name, n.rule_type, coalesce(d.deps, '') AS deps, CASE WHEN {_IS_RULE} THEN 't' || right(CAST(k AS VARCHAR), 1) || ',all' ELSE '' END AS tags,
+ CASE WHEN {_IS_RULE} THEN 'tier=' || tier ELSE '' END AS attributes, false AS external FROM n LEFT JOIN (SELECT src, string_agg(dst, ',' ORDER BY dst) AS deps FROM e GROUP BY src) d ON d.src = n.name""")
+
+
+@query(_CONVERTED)
 def raw_conversion(spark, sf_dir):
     """Raw targets as targets: inputs sorted and without doubled labels, tags, string attributes."""
-    t = build.convert(raw_targets(spark, sf_dir))
+    return _shown(build.convert(raw_targets(spark, sf_dir)))
+
+
+@query(_CONVERTED)
+def decoded_records(spark, sf_dir):
+    """The same from record files: raw targets in the wire format, a thousand packages of a kind to a file, read again."""
+    rows = raw_targets(spark, sf_dir)
+    place = F.concat(F.regexp_extract("name", "^//([^/]*)/", 1), F.lit("/"), F.floor(F.regexp_extract("name", "/([0-9]+):", 1).cast("long") / 1000))
+    pieces = rows.select(place.alias("path"), "name", F.hex(wire.record()).alias("piece"))
+    files = pieces.groupBy("path").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "piece"))), lambda x: x["piece"]), "")).alias("content"))
+    return _shown(build.convert(wire.raw(wire.targets(parsers.records(files)))))
+
+
+def _shown(t: DataFrame) -> DataFrame:
     shown = F.array_join(F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
     return t.select("name", "rule_type", F.array_join("deps", ",").alias("deps"), F.array_join("tags", ",").alias("tags"), shown.alias("attributes"), "external")
 

@@ -76,7 +76,7 @@ def pkg_name_rank(spark, sf_dir):
 
 @query(_sql("SELECT name, hash FROM ta"))
 def merkle_hash(spark, sf_dir):
-    return fixtures.pair(spark, sf_dir)[1].select("name", "hash")
+    return fixtures.revision(spark, sf_dir, "after").select("name", "hash")
 
 
 @query(_sql("SELECT name FROM n WHERE rule_type NOT IN ('source file', 'package group') AND NOT EXISTS (SELECT 1 FROM e WHERE e.dst = n.name)"))

@@ -31,9 +31,9 @@ SELECT 'nation' AS kind, CAST(n_nationkey AS BIGINT) AS k, concat('//nation/', n
 UNION ALL SELECT 'customer', c_custkey, concat('//customer/', c_custkey, ':lib'), concat('//nation/', c_nationkey, ':lib') FROM {customer}
 UNION ALL SELECT 'supplier', s_suppkey, concat('//supplier/', s_suppkey, ':lib'), concat('//nation/', s_nationkey, ':lib') FROM {supplier}
 UNION ALL SELECT 'order', o_orderkey, concat('//orders/', o_orderkey, ':order'), concat('//customer/', o_custkey, ':lib') FROM {orders}
-UNION ALL SELECT DISTINCT 'order', l_orderkey, concat('//orders/', l_orderkey, ':order'), concat('//orders/', l_orderkey, ':line_', l_linenumber) FROM {lineitem}
-UNION ALL SELECT DISTINCT 'order', l_orderkey, concat('//orders/', l_orderkey, ':order'), concat('//part/', l_partkey, ':src') FROM {lineitem}
-UNION ALL SELECT DISTINCT 'order', l_orderkey, concat('//orders/', l_orderkey, ':order'), concat('//supplier/', l_suppkey, ':lib') FROM {lineitem}
+UNION ALL SELECT 'order', l_orderkey, concat('//orders/', l_orderkey, ':order'), concat('//orders/', l_orderkey, ':line_', l_linenumber) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem})
+UNION ALL SELECT 'order', l_orderkey, concat('//orders/', l_orderkey, ':order'), concat('//part/', l_partkey, ':src') FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem})
+UNION ALL SELECT 'order', l_orderkey, concat('//orders/', l_orderkey, ':order'), concat('//supplier/', l_suppkey, ':lib') FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem})
 """
 
 #: Edits by key: parts and suppliers with new content, customers with another attribute, orders that go, lose their
@@ -50,7 +50,7 @@ SELECT kind, k, src, dst FROM {edges} WHERE NOT (kind = 'order' AND k % 101 = 5)
 UNION ALL SELECT 'extra', k, concat('//orders/', k, ':extra'), name FROM {nodes} WHERE kind = 'order' AND k % 103 = 7 AND k % 101 <> 5
 """
 
-_made: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_made: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def nodes_and_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -79,14 +79,18 @@ def hashed(graph: DataFrame) -> DataFrame:
     return store(graph.join(merkle.hash_graph(graph), "name").select("name", "hash", "rule_type", "deps", "attributes"))
 
 
-def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both revisions, hashed; kept for the life of the session."""
-    key = spark.sparkContext.applicationId, sf_dir
+def revision(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """One revision, hashed; kept for the life of the session."""
+    key = spark.sparkContext.applicationId, sf_dir, which
     if key not in _made:
-        _made[key] = hashed(graph(spark, sf_dir)), hashed(graph(spark, sf_dir, "after"))
+        _made[key] = hashed(graph(spark, sf_dir, which))
     return _made[key]
 
 
+def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return revision(spark, sf_dir, "before"), revision(spark, sf_dir, "after")
+
+
 def stored_pair(spark: SparkSession, sf_dir: str) -> tuple[graphs.Graph, graphs.Graph]:
     """Both revisions as stored graphs of one layout."""
     before, after = pair(spark, sf_dir)

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Stored bytes of a range.
+RANGE_BYTES = 32 << 20
+
 _stored: set[tuple[SparkSession, str]] = set()
 
 
@@ -22,10 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: cuts the lineage of a loop and survives lost executors."""
+def store(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written as Parquet and read again: cuts the lineage of a loop and survives lost executors. by: a column of few
+    values, each of which gets files of its own."""
     path = f"{shared_dir(df.sparkSession)}/targetry-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _stored.add((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._targetry_path = path
@@ -40,6 +45,14 @@ def counted(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict[str, int]]:
     return out, seen.get
 
 
+def range_count(df: DataFrame) -> int:
+    """Ranges to deal df into: of a stored table by its bytes, else as many as Spark shuffles to."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not hasattr(df, "_targetry_path"):
+        return least
+    return max(least, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // RANGE_BYTES))
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """df stored in buckets of a column: joins on it shuffle the other side alone."""
     name = f"targetry_{uuid.uuid4().hex}"
