@@ -214,9 +214,25 @@ def all_targets(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "name", "full_outer").select("name", kind.alias("change_type"), "before", "after", F.lit(True).alias("is_seed"), F.lit(0).alias("distance"))
 
 
-def promoted(before_files: dict[str, str] | None, after_files: dict[str, str] | None) -> bool:
-    """Whether the all-targets files call for all_targets(): none at all differs from any map that isn't empty."""
-    return (before_files or {}) != (after_files or {})
+def files_differ(before: DataFrame | None, after: DataFrame | None) -> bool:
+    """Whether two revisions' files that call for all targets (path, hash) differ as maps: by a path that one lacks or whose
+    hash isn't the same, nulls being equal. No table at all is an empty map; of repeated paths the greatest hash counts."""
+    one = lambda df, c: df.groupBy("path").agg(F.max("hash").alias(c), F.lit(True).alias(f"{c}_there"))
+    if before is None or after is None:
+        rest = after if before is None else before
+        return rest is not None and not rest.isEmpty()
+    b, a = one(before, "b"), one(after, "a")
+    both = b.join(a, b["path"].eqNullSafe(a["path"]), "full_outer")
+    return not both.where(~(F.col("b_there").eqNullSafe(F.col("a_there")) & F.col("b").eqNullSafe(F.col("a")))).isEmpty()
+
+
+def diff_or_all(before: Revision, after: Revision, before_files: DataFrame | None, after_files: DataFrame | None, max_distance: int = -1, allowed: list[str] | None = None, phases: Phases | None = None) -> DataFrame:
+    """diff(), or all_targets() if the files that call for it differ: these small tables are compared first, and the graphs are
+    then read for one of the two alone."""
+    if files_differ(before_files, after_files):
+        whole = lambda r: r.rows() if isinstance(r, graphs.Graph) else r
+        return all_targets(whole(before), whole(after)).select("name", "change_type", "before", "after", "is_seed", "distance").orderBy("name")
+    return diff(before, after, max_distance, allowed, phases)
 
 
 def equivalent(one: DataFrame, other: DataFrame) -> bool:

@@ -118,7 +118,12 @@ def core_of(links: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def hash_graph(targets: DataFrame, sequential: tuple[str, ...] = ()) -> DataFrame:
-    """name, hash of all targets, cycles included.
+    """name, hash of all targets, cycles included; see hashed()."""
+    return hashed(targets, sequential)[0]
+
+
+def hashed(targets: DataFrame, sequential: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """name, hash of all targets, cycles included; and whether there are cycles.
 
     targets: name, own, fixed, deps, rule_type. Cycles are walked depth first: sequential targets in order, then roots by
     name, then the rest by name; a target that is met while it is being hashed counts as an empty hash. A walk takes a
@@ -130,7 +135,7 @@ def hash_graph(targets: DataFrame, sequential: tuple[str, ...] = ()) -> DataFram
     levels, rest = hash_levels(targets.select("name", "own", "fixed"), links)
     rest = store(rest)
     if rest.isEmpty():
-        return levels.select("name", "hash")
+        return levels.select("name", "hash"), False
     levels = store(levels.select("name", "hash"))
     inner = store(links.join(rest.select(F.col("name").alias("src")), "src").join(rest.select(F.col("name").alias("dst")), "dst").select("src", "dst", "ord"))
     core = store(core_of(inner, rest))
@@ -149,9 +154,9 @@ def hash_graph(targets: DataFrame, sequential: tuple[str, ...] = ()) -> DataFram
     known = levels.union(walked)
     open_ = rest.join(walked.select("name"), "name", "left_anti")
     if open_.isEmpty():
-        return known
+        return known, True
     nodes = targets.select("name", "own").join(known.withColumnRenamed("hash", "fixed"), "name", "left").select("name", "own", "fixed")
-    return hash_levels(nodes, links)[0].select("name", "hash")
+    return hash_levels(nodes, links)[0].select("name", "hash"), True
 
 
 def _starts(targets: DataFrame, links: DataFrame, inner: DataFrame, rest: DataFrame, core: DataFrame, sequential: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from targetry.functions import keys, labels, sizes
-from targetry.operators import build, changes, dictionaries, diff, incremental, merkle, snapshots, stats
+from targetry.operators import build, changes, dictionaries, diff, incremental, merkle, packages, snapshots, stats
 from targetry.plans import builds, fixtures, registry
 from targetry.plans.registry import Query, query
 from targetry.sources.tables import store
@@ -174,6 +174,43 @@ def all_targets_promotion(spark, sf_dir):
     return diff.all_targets(*fixtures.pair(spark, sf_dir)).select("name", "change_type", "distance")
 
 
+#: Files that call for all targets: the nations' comments, of which the after revision has others or the same.
+_ALL_FILES = "SELECT 'n' || n_nationkey AS path, sha1(n_name) AS hash FROM nation"
+
+
+def _all_files(spark, sf_dir, edited):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    name = F.when((F.col("n_nationkey") == 3) & F.lit(edited), F.concat("n_name", F.lit("+"))).otherwise(F.col("n_name"))
+    return n.select(F.concat(F.lit("n"), "n_nationkey").alias("path"), F.sha1(name).alias("hash"))
+
+
+@query(_sql("""SELECT name, change_type, distance FROM r WHERE NOT (SELECT bool_or(x.hash IS DISTINCT FROM y.hash) FROM af x FULL OUTER JOIN ag y ON x.path = y.path)
+  UNION ALL SELECT coalesce(tb.name, ta.name), 'ALL', 0 FROM tb FULL OUTER JOIN ta ON tb.name = ta.name WHERE (SELECT bool_or(x.hash IS DISTINCT FROM y.hash) FROM af x FULL OUTER JOIN ag y ON x.path = y.path)""", f"af AS ({_ALL_FILES}), ag AS ({_ALL_FILES}), " + _WALK, True))
+def unpromoted_diff(spark, sf_dir):
+    """The files that call for all targets are the same: the diff."""
+    files = _all_files(spark, sf_dir, False)
+    return diff.diff_or_all(*fixtures.pair(spark, sf_dir), files, files).select("name", "change_type", "distance")
+
+
+@query(_sql("SELECT coalesce(tb.name, ta.name) AS name, CASE WHEN tb.name IS NULL THEN 'CHANGE_TYPE_NEW' WHEN ta.name IS NULL THEN 'CHANGE_TYPE_DELETED' ELSE 'CHANGE_TYPE_CHANGED' END AS change_type, 0 AS distance FROM tb FULL OUTER JOIN ta ON tb.name = ta.name"))
+def promoted_diff(spark, sf_dir):
+    """One of them is edited: all targets."""
+    return diff.diff_or_all(*fixtures.pair(spark, sf_dir), _all_files(spark, sf_dir, False), _all_files(spark, sf_dir, True)).select("name", "change_type", "distance")
+
+
+_NESTED_FOLDERS = "concat('c', o_custkey % 7, '/o', o_orderkey % 11, CASE WHEN o_orderkey % 3 = 0 THEN '/deep/er' ELSE '' END)"
+_NESTED_PATHS = f"SELECT o_orderkey AS k, concat({_NESTED_FOLDERS}, '/', o_orderkey, '.go') AS path FROM {{orders}}"
+_NESTED_PACKAGES = "SELECT DISTINCT concat('c', c_custkey % 7) AS package FROM {customer} WHERE c_custkey % 7 < 5 UNION SELECT DISTINCT concat('c', c_custkey % 7, '/o', c_custkey % 11) FROM {customer} WHERE c_custkey % 2 = 0 UNION SELECT DISTINCT concat('c', c_custkey % 7, '/o', c_custkey % 11, '/deep') FROM {customer} WHERE c_custkey % 5 = 0"
+
+
+@query(f"""WITH p AS ({_NESTED_PATHS.format(orders='orders')}), g AS ({_NESTED_PACKAGES.format(customer='customer')}),
+m AS (SELECT k, max(length(package)) AS n FROM p JOIN g ON starts_with(path, package || '/') GROUP BY k)
+SELECT p.k, path, left(path, CAST(n AS BIGINT)) AS package FROM p LEFT JOIN m ON m.k = p.k""")
+def nearest_package(spark, sf_dir):
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")}
+    return packages.containing(spark.sql(_NESTED_PATHS, orders=tables["orders"]), spark.sql(_NESTED_PACKAGES, customer=tables["customer"]), strict=False).select("k", "path", "package")
+
+
 @query(_sql("SELECT name, degree, CAST(coalesce(sum(degree) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT n.name, count(e.dst) AS degree FROM n LEFT JOIN e ON e.src = n.name GROUP BY n.name)"))
 def degree_offsets(spark, sf_dir):
     return stats.degree_offsets(fixtures.graph(spark, sf_dir))
