@@ -28,6 +28,28 @@ def get(spark: SparkSession, base: str, key: str) -> DataFrame | None:
         return None
 
 
+def whole(spark: SparkSession, base: str, key: str) -> DataFrame | None:
+    """The rows under the key after each was read once by the executors: None also if a page within a file is broken."""
+    found = get(spark, base, key)
+    if found is None:
+        return None
+    try:
+        found.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError):
+        if not _readable(spark):
+            raise
+        return None
+    return found
+
+
+def _readable(spark: SparkSession) -> bool:
+    """Whether jobs run at all: a cancelled request's don't."""
+    try:
+        return spark.range(1).count() == 1
+    except (PySparkException, Py4JJavaError):
+        return False
+
+
 def cached(spark: SparkSession, base: str, key: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The rows under the key, computed and put there if they are missing or broken."""
     found = get(spark, base, key)
