@@ -19,12 +19,28 @@ def deleted(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: Dat
     )
 
 
+def united(*scans: DataFrame) -> DataFrame:
+    """One table of several scans of a graph, by column names; a column that a scan lacks is null. A target that several scans
+    have comes from the first of them."""
+    rows = None
+    for k, scan in enumerate(scans):
+        part = scan.withColumn("_scan", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    others = [c for c in rows.columns if c not in ("name", "_scan")]
+    first = rows.groupBy("name").agg(F.min_by(F.struct(*others), "_scan").alias("_row"))
+    return first.select("name", *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
 def update(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: DataFrame, strict: bool = True, sequential: tuple[str, ...] = ()) -> DataFrame:
     """previous (name, hash, own, deps, ...) with the rows of changed packages replaced by fresh ones and re-hashed.
 
     changed, gone: package. fresh has the columns of previous; its hash is not read. With strict, a dependency of a
     fresh row that exists nowhere is an error. Of cycles, sequential targets are hashed first. A root column is worked out
     anew, since targets may lose their last dependent or get a first one.
+
+    A walk column (array, null where it is the dependencies) has what a target is hashed over instead: labels of other
+    repositories walk to their `//external:` rule alone, so that a fresh rule re-hashes them and what depends on them. Such
+    rules are replaced like other rows: their package is `external`.
     """
     lost = store(deleted(previous, fresh, changed, gone))
     kept = previous.join(lost, "name", "left_anti").join(fresh.select("name"), "name", "left_anti")
@@ -34,8 +50,10 @@ def update(previous: DataFrame, fresh: DataFrame, changed: DataFrame, gone: Data
         if not dangling.isEmpty():
             raise ValueError(f"unknown dependency {dangling.first().name}")
     start = rows.where("_fresh").select("name").union(lost)
-    stale = store(merkle.dependents_of(rows, start).join(rows.select("name"), "name", "left_semi"))
-    marked = rows.join(stale.select("name", F.lit(True).alias("_stale")), "name", "left")
+    walk = F.coalesce("walk", "deps") if "walk" in previous.columns else F.col("deps")
+    walked = rows.withColumn("deps", walk)
+    stale = store(merkle.dependents_of(walked, start).join(rows.select("name"), "name", "left_semi"))
+    marked = walked.join(stale.select("name", F.lit(True).alias("_stale")), "name", "left")
     plain = marked.select("name", "own", "deps", "rule_type", F.when(F.col("_stale").isNull(), F.col("hash")).alias("fixed"))
     hashes = merkle.hash_graph(store(plain), sequential)
     out = rows.drop("hash", "_fresh").join(hashes, "name")

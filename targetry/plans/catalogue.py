@@ -269,6 +269,34 @@ def incremental_vs_full(spark, sf_dir):
     return both.agg(F.count("*").alias("n_targets"), F.count_if(~F.col("h").eqNullSafe(F.col("hash"))).alias("n_differ"))
 
 
+@query(_sql("SELECT (SELECT count(*) FROM tb) + 2 * (SELECT count(*) FROM supplier) + 3 AS n_targets, CAST(0 AS BIGINT) AS n_differ, (SELECT count(DISTINCT o_orderkey) FROM orders) AS n_orders, true AS rehashed"))
+def incremental_aliases(spark, sf_dir):
+    """Suppliers need labels of three other repositories, which stand for their rules; one rule changes. The update against
+    hashing it whole, over scans of the workspace and of the rules that are united."""
+    inner = fixtures.graph(spark, sf_dir).select("name", "own", "deps", "rule_type", "kind", "k")
+    repo = F.concat(F.lit("r"), F.col("k") % 3)
+    label = F.concat(F.lit("@"), repo, F.lit("//lib/"), F.col("k").cast("string"), F.lit(":a"))
+    mine = inner.where("kind = 'supplier'")
+    inner = inner.withColumn("deps", F.when(F.col("kind") == "supplier", F.concat("deps", F.array(label), F.array(F.concat(label, F.lit("b"))))).otherwise(F.col("deps"))).drop("kind", "k")
+    alias = mine.select(F.explode(F.array(label, F.concat(label, F.lit("b")))).alias("name"), F.array(F.concat(F.lit("//external:"), repo)).alias("walk"), F.lit("unknown rule").alias("rule_type"))
+    none = F.array().cast("array<string>")
+    # the rule of repository 1 has other content in the second graph
+    rules = lambda mark: spark.range(3).select(F.concat(F.lit("//external:r"), "id").alias("name"), F.unhex(F.sha1(F.encode(F.when(F.col("id") == 1, mark).otherwise("x"), "utf-8"))).alias("own"), F.lit("external rule").alias("rule_type"))
+    graph = lambda mark: incremental.united(inner, alias, rules(mark)).withColumn("deps", F.coalesce("deps", none))
+    whole = lambda g: g.select("name").join(merkle.hash_graph(g.select("name", "own", F.lit(None).cast("string").alias("fixed"), F.coalesce("walk", "deps").alias("deps"), "rule_type")), "name")
+    before, after = store(graph("1")), store(graph("2"))
+    old, new = store(whole(before)), store(whole(after))
+    columns = ("name", "hash", "own", "deps", "rule_type", "walk")
+    previous = before.join(old, "name").select(*columns)
+    fresh = after.where("name LIKE '//external:%'").withColumn("hash", F.lit(None).cast("string")).select(*columns)
+    packages = spark.createDataFrame([("external",)], "package string")
+    updated = incremental.update(previous, fresh, packages, packages.limit(0)).select("name", F.col("hash").alias("h"))
+    both = updated.join(new, "name", "full_outer")
+    moved = new.join(old.select("name", F.col("hash").alias("o")), "name").where("hash <> o AND name LIKE '//orders/%:order'")
+    counts = both.agg(F.count("*").alias("n_targets"), F.count_if(~F.col("h").eqNullSafe(F.col("hash"))).alias("n_differ"))
+    return counts.select("n_targets", "n_differ", F.lit(inner.where("name LIKE '//orders/%:order'").count()).cast("long").alias("n_orders"), F.lit(not moved.isEmpty()).alias("rehashed"))
+
+
 _RING = """
 w AS MATERIALIZED (SELECT kind, k, name, sha1(concat_ws('|', name, rule_type, own, tier)) AS w FROM n),
 x0 AS MATERIALIZED (SELECT name, sha1(unhex(w)) AS hash FROM w WHERE kind IN ('region', 'part', 'line')),
