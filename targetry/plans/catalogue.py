@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from targetry.functions import keys, labels, sizes
+from targetry.functions import hashes, keys, labels, sizes
 from targetry.operators import build, changes, dictionaries, diff, incremental, merkle, packages, snapshots, stats
 from targetry.plans import builds, fixtures, registry
 from targetry.plans.registry import Query, query
@@ -211,6 +211,13 @@ def nearest_package(spark, sf_dir):
     return packages.containing(spark.sql(_NESTED_PATHS, orders=tables["orders"]), spark.sql(_NESTED_PACKAGES, customer=tables["customer"]), strict=False).select("k", "path", "package")
 
 
+@query("SELECT o_orderkey, CASE WHEN h = '' THEN '' WHEN length(h) % 2 = 1 THEN repeat('0', 16) ELSE rpad(left(h, 16), 16, '0') END AS short FROM (SELECT o_orderkey, left(md5(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey % 33 AS BIGINT)) AS h FROM orders)")
+def short_hashes(spark, sf_dir):
+    """Hashes cut or filled up to eight bytes."""
+    h = F.expr("left(md5(CAST(CAST(o_orderkey AS STRING) AS BINARY)), CAST(o_orderkey % 33 AS INT))")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", hashes.truncated(h, 8).alias("short"))
+
+
 @query(_sql("SELECT name, degree, CAST(coalesce(sum(degree) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT n.name, count(e.dst) AS degree FROM n LEFT JOIN e ON e.src = n.name GROUP BY n.name)"))
 def degree_offsets(spark, sf_dir):
     return stats.degree_offsets(fixtures.graph(spark, sf_dir))

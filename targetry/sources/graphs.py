@@ -70,6 +70,12 @@ class Graph:
         all_ = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
         return all_ if files is None else all_.where(F.col("_metadata.file_name").isin(files))
 
+    def find(self, names: list[str]) -> DataFrame:
+        """Rows of some names. Only files of their groups are read; within a file rows lie in order of name."""
+        asked = self.spark.createDataFrame([(n,) for n in names], "name string").select(self.layout.group(F.col("name")).alias("group")).distinct()
+        files = [r["file"] for r in self.digests().join(F.broadcast(asked), "group").select("file").distinct().collect()]
+        return self.rows(files).where(F.col("name").isin(names))
+
     def digests(self, groups: int | None = None) -> DataFrame:
         """group (folded to fewer groups if asked), file, n, one, two."""
         d = self.spark.read.schema("group int, file string, n long, one long, two long").parquet(f"{self.path}/digests")

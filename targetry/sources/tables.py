@@ -118,6 +118,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def _clean() -> None:
     for spark, path in list(_stored):
         try:
+            if (name := path.rsplit("/", 1)[-1]).startswith("targetry_"):
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             delete(spark, path)
         except Exception:  # the session may be gone
             return

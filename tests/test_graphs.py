@@ -94,6 +94,14 @@ def test_put_again_and_missing(spark, base):
     assert [f[1] for f in same(spark, empty, new)] == [diff.NEW] * 31 and same(spark, empty, empty) == []
 
 
+def test_find(spark, base, monkeypatch):
+    monkeypatch.setattr(graphs, "ROWS_OF_GROUP", 40)
+    g = graphs.put(spark.createDataFrame(rows(600, 100), SCHEMA), base, "g")
+    found = g.find(["//p5:t5", "//p7:t107", "//p7:none"])
+    assert sorted(r.name for r in found.collect()) == ["//p5:t5", "//p7:t107"] and scanned(found) < 300
+    assert g.find([]).count() == 0
+
+
 def test_null_hash_counts_as_empty(spark, base):
     one = graphs.put(spark.createDataFrame([("//a:a", None, "rule", [], {}), ("//a:b", "", "rule", [], {})], SCHEMA), base, "one")
     two = graphs.put(spark.createDataFrame([("//a:a", "", "rule", [], {}), ("//a:b", None, "rule", [], {})], SCHEMA), base, "two", like=one)
