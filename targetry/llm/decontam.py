@@ -10,26 +10,56 @@ are long texts, whole. Empty tables give empty or clean results.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from targetry.llm.common import LOWER, U64, WORD_BYTES, blocks, cut_words, flat_text, forget, lean, store, window_hashes, word_hashes
+from targetry.llm.common import LOWER, U64, WORD_BYTES, WORD_PATTERN, blocks, cut_words, flat_text, forget, lean, store, window_hashes, word_hashes
+from targetry.operators.stats import prefix_sums
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast set. A larger benchmark is dealt into several sets by item, each scanned
-#: in a pass of its own; the spans of all passes are merged.
-SET_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast set, each word counted as WORD_COST bytes at least. In memory a set takes at
+#: most some seven times as much. A larger benchmark is dealt into several sets, each scanned in a pass of its own; the
+#: spans of all passes are merged. An item over this bound is cut into pieces that share their windows' words.
+SET_BYTES = 16 << 20
+WORD_COST = 5
+
+
+class Layer:
+    """Distinct windows of one width, in order of their hashes: where each stands and the items that hold it."""
+
+    def __init__(self, hashes: np.ndarray, where: np.ndarray, items: np.ndarray):
+        """One entry for each window and item, ordered by hash, then item."""
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        self.keys, self.where, self.items = hashes[first], where[first], items
+        self.at = np.append(first, len(hashes)).astype(np.int32)
+        # a small table of bits by the hashes' low bits, which most windows fail
+        bits = max(16, int(len(first) * 16).bit_length())
+        self.mask = U64((1 << bits) - 1)
+        self.sieve = np.zeros(1 << bits - 3, np.uint8)
+        low = self.keys & self.mask
+        np.bitwise_or.at(self.sieve, low >> U64(3), np.left_shift(1, (low & U64(7)).astype(np.uint8), dtype=np.uint8))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the number of the known window of each."""
+        low = hashes & self.mask
+        maybe = np.flatnonzero(self.sieve[low >> U64(3)] >> (low & U64(7)).astype(np.uint8) & 1)
+        known = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
+        hit = self.keys[known] == hashes[maybe]
+        return maybe[hit], known[hit]
 
 
 class Grams:
-    """All windows of some items: hash -> words and items."""
+    """All windows of some items: one buffer of their words, where each word begins, and layers of windows by width. A
+    width has more than one layer only where different windows share a hash."""
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        self.by_width: dict[int, dict[int, list[tuple[bytes, list[str | None]]]]] = {}
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW):
+        number: dict[str | None, int] = {}
+        data, begins, n_words, n_bytes = [], [], 0, 0
+        entries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for item, text in items:
             raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             starts, ends, first = cut_words(raw, np.array([0, len(raw)]), WORD_BYTES)
@@ -37,22 +67,51 @@ class Grams:
                 continue
             width = min(window, len(starts))
             hashes, where = window_hashes(word_hashes(raw, starts, ends), first, width)
-            data = raw.tobytes()
-            for h, w in zip(hashes.tolist(), where.tolist(), strict=True):
-                words = b" ".join(data[starts[k] : ends[k]] for k in range(w, w + width))
-                entries = self.by_width.setdefault(width, {}).setdefault(h, [])
-                same = next((e for e in entries if e[0] == words), None)
-                if same is None:
-                    entries.append(same := (words, []))
-                if item not in same[1]:
-                    same[1].append(item)
-        #: A small table by the hashes' low bits, which most windows fail.
-        self.sieve = {}
-        for width, table in self.by_width.items():
-            bits = max(16, int(len(table) * 32).bit_length())
-            sieve = np.zeros(1 << bits, bool)
-            sieve[np.fromiter(table, U64, len(table)) & U64((1 << bits) - 1)] = True
-            self.sieve[width] = sieve
+            kept = WORD_BYTES[raw]
+            kept[ends[ends < len(raw)]] = True
+            words = raw[starts[0] :][kept[starts[0] :]]
+            begin = np.append(0, np.cumsum(ends - starts + 1)[:-1])
+            words[begin[1:] - 1] = 32
+            words = np.append(words[: begin[-1] + ends[-1] - starts[-1]], np.uint8(32))
+            entries.setdefault(width, []).append((hashes, (where + n_words).astype(np.int32), np.full(len(hashes), number.setdefault(item, len(number)), np.int32)))
+            data.append(words)
+            begins.append((begin + n_bytes).astype(np.int32))
+            n_words, n_bytes = n_words + len(starts), n_bytes + len(words)
+        if n_bytes >= 1 << 31:
+            raise ValueError("a set of windows holds at most 2 GB of text")
+        self.names = list(number)
+        self.data = np.concatenate(data).tobytes() if data else b""
+        del data
+        self.begins = np.append(np.concatenate(begins) if begins else np.empty(0, np.int32), np.int32(n_bytes))
+        self.layers: list[tuple[int, Layer]] = []
+        for width in sorted(entries):
+            hashes, where, own = (np.concatenate(x) for x in zip(*entries.pop(width), strict=True))
+            while len(hashes):
+                order = np.lexsort((own, hashes))
+                hashes, where, own = hashes[order], where[order], own[order]
+                other = self._differ(hashes, where, width)
+                # of a window that an item holds more than once one entry is enough
+                fresh = ~other
+                again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1]) & fresh[1:] & fresh[:-1]) + 1
+                fresh[again] = False
+                self.layers.append((width, Layer(hashes[fresh], where[fresh], own[fresh])))
+                hashes, where, own = hashes[other], where[other], own[other]
+
+    def _differ(self, hashes: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
+        """Of windows ordered by hash, those that have other words than the first one of their hash."""
+        first = np.maximum.accumulate(np.where(np.append(True, hashes[1:] != hashes[:-1]), np.arange(len(hashes)), 0))
+        out = np.zeros(len(hashes), bool)
+        repeats = np.flatnonzero(first < np.arange(len(hashes)))
+        for k in repeats.tolist():
+            out[k] = self.window(where[k], width) != self.window(where[first[k]], width)
+        return out
+
+    def window(self, word: int, width: int) -> bytes:
+        return self.data[self.begins[word] : self.begins[word + width] - 1]
+
+    def nbytes(self) -> int:
+        arrays = [x for _, layer in self.layers for x in (layer.keys, layer.where, layer.items, layer.at, layer.sieve)]
+        return len(self.data) + sum(x.nbytes for x in [self.begins, *arrays])
 
     def scan(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str | None]]]:
         """For each text: its number, its number of words, hit spans (first word, end; merged), items."""
@@ -60,24 +119,19 @@ class Grams:
         starts, ends, first = cut_words(raw, at, WORD_BYTES)
         words, data = word_hashes(raw, starts, ends), None
         spans: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str | None]] = {}
-        for width, table in self.by_width.items():
+        items: dict[int, set[int]] = {}
+        for width, layer in self.layers:
             hashes, where = window_hashes(words, first, width)
-            sieve = self.sieve[width]
-            for k in np.flatnonzero(sieve[hashes & U64(len(sieve) - 1)]).tolist():
-                entries = table.get(int(hashes[k]))
-                if entries is None:
-                    continue
+            hits, known = layer.find(hashes)
+            places = where[hits]
+            docs = np.searchsorted(first, places, "right") - 1
+            for w, doc, k in zip(places.tolist(), docs.tolist(), known.tolist(), strict=True):
                 data = raw.tobytes() if data is None else data
-                w = int(where[k])
-                text = b" ".join(data[starts[x] : ends[x]] for x in range(w, w + width))
-                for known, names in entries:
-                    if known == text:
-                        doc = int(np.searchsorted(first, w, "right")) - 1
-                        spans.setdefault(doc, []).append((w - int(first[doc]), w - int(first[doc]) + width))
-                        items.setdefault(doc, set()).update(names)
+                if self.window(layer.where[k], width) == b" ".join(data[starts[x] : ends[x]] for x in range(w, w + width)):
+                    spans.setdefault(doc, []).append((w - int(first[doc]), w - int(first[doc]) + width))
+                    items.setdefault(doc, set()).update(layer.items[layer.at[k] : layer.at[k + 1]].tolist())
         for doc in range(len(at) - 1):
-            yield doc, int(first[doc + 1] - first[doc]), merge(spans.get(doc, ())), items.get(doc, set())
+            yield doc, int(first[doc + 1] - first[doc]), merge(spans.get(doc, ())), {self.names[x] for x in items.get(doc, ())}
 
 
 def merge(spans) -> list[tuple[int, int]]:
@@ -109,15 +163,18 @@ def _scanned(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     holds two sets."""
     spark = docs.sparkSession
     lean(spark)
-    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    passes = max(1, -(-int(total) // set_bytes))
     named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    cost = F.coalesce(F.greatest(F.octet_length("text"), WORD_COST * F.regexp_count("text", F.lit(WORD_PATTERN))), F.lit(0))
+    passes = 1
+    if (named.agg(F.sum(cost)).first()[0] or 0) > set_bytes:
+        named = _dealt(named.distinct().withColumn("cost", cost.cast("long")), window, set_bytes)
+        passes = (named.agg(F.max("set")).first()[0] or 0) + 1
     k = docs.columns.index(text)
     schema = docs.select("*", F.lit(0).cast("long").alias("__n"), F.lit(None).cast("array<bigint>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items")).schema
     out = docs
     for i in range(passes):
-        part = named.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(passes)) == i) if passes > 1 else named
-        shared = spark.sparkContext.broadcast(Grams([(r.item, r.text) for r in part.toLocalIterator()], window))
+        part = named.where(F.col("set") == i) if passes > 1 else named
+        shared = spark.sparkContext.broadcast(Grams(((r.item, r.text) for r in part.select("item", "text").toLocalIterator()), window))
         last = i == passes - 1
         before, out = out, out.mapInArrow(_scanner(shared, k, i > 0, most_hit if last else None), docs.schema if last and most_hit is not None else schema)
         if not last:
@@ -127,6 +184,20 @@ def _scanned(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     return out
 
 
+def _dealt(named: DataFrame, window: int, set_bytes: int) -> DataFrame:
+    """item, text, set: items dealt into sets of about set_bytes by running sums of their cost, those of more than that
+    in pieces of about half of it."""
+    words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    large = named.where(F.col("cost") > set_bytes).withColumn("words", words)
+    step = F.greatest(F.lit(window), F.floor(F.size("words") * (set_bytes / 2) / F.col("cost")).cast("int"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - window), step)
+    large = large.withColumn("step", step).select("item", "words", "step", F.explode(cuts).alias("piece"))
+    large = large.select("item", F.array_join(F.slice("words", F.col("piece") + 1, F.col("step") + (window - 1)), " ").alias("text"), "piece")
+    large = large.withColumn("cost", F.greatest(F.octet_length("text"), WORD_COST * F.regexp_count("text", F.lit(WORD_PATTERN))).cast("long"))
+    rows = named.where(F.col("cost") <= set_bytes).select("item", "text", F.lit(0).alias("piece"), "cost").unionByName(large)
+    return store(prefix_sums(rows, "cost", "item", "text", "piece").select("item", "text", F.floor(F.col("before") / set_bytes).cast("int").alias("set")))
+
+
 def _scanner(shared, k: int, again: bool, most_hit: float | None):
     """Texts in column k. again: the last three columns hold what earlier passes found."""
 

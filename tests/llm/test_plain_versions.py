@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -217,3 +218,45 @@ def test_decontamination_of_several_sets(spark):
     one, many = decontam.scan(docs, items), decontam.scan(docs, items, set_bytes=150)
     assert plain(one) == plain(many) and all(len(r[3]) >= 2 for r in plain(one))
     assert sorted(map(tuple, decontam.decontaminate(docs, items, most_hit=1.0).collect())) == sorted(map(tuple, decontam.decontaminate(docs, items, most_hit=1.0, set_bytes=150).collect()))
+
+
+def test_decontamination_set_takes_little_memory():
+    r = random.Random(1)
+    vocabulary = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(50_000)]
+    items, total = [], 0
+    while total < 32 << 20:
+        items.append((str(len(items)), " ".join(r.choices(vocabulary, k=2_000))))
+        total += len(items[-1][1])
+    grams = decontam.Grams(iter(items))
+    assert grams.nbytes() <= 8 * total and len(pickle.dumps(grams)) <= 8 * total
+    text = " ".join(items[7][1].split()[50:75])
+    (found,) = grams.scan(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert found == (0, 25, [(0, 25)], {"7"})
+
+
+def test_decontamination_windows_that_share_a_hash(monkeypatch):
+    real = decontam.window_hashes
+
+    def weak(*a):
+        hashes, where = real(*a)
+        return hashes & np.uint64(7), where
+
+    items = [("a", prose(30, 1)), ("b", prose(30, 2)), (None, prose(30, 1)), ("c", "two words"), ("d", "other words"), ("e", None), ("a", prose(12, 3))]
+    text = prose(30, 1) + " x " + prose(12, 3) + " other words " + " ".join(prose(30, 2).split()[5:15])
+    raw, at = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    want = list(decontam.Grams(items).scan(raw, at))
+    assert want[0][3] == {"a", None, "b", "d"} and want[0][2] == [(0, 30), (31, 55)]
+    monkeypatch.setattr(decontam, "window_hashes", weak)
+    grams = decontam.Grams(items)
+    assert len(grams.layers) > 4 and list(grams.scan(raw, at)) == want
+
+
+def test_decontamination_by_an_item_larger_than_a_set(spark):
+    long = prose(400, 5)
+    items = spark.createDataFrame([(1, long), (2, "short one"), (2, "short one"), (3, None), (4, prose(11, 6))], "item_id long, text string")
+    cut = long.split()
+    docs = spark.createDataFrame([(k, "so " + " ".join(cut[k : k + 10]) + " far") for k in range(391)] + [(900, long), (901, " ".join(cut[:9])), (902, "a short one")], "doc_id long, text string")
+    plain = lambda out: sorted((r.doc_id, [tuple(s) for s in r.spans], r["items"]) for r in out.collect())
+    one = plain(decontam.scan(docs, items))
+    assert one == plain(decontam.scan(docs, items, set_bytes=700)) and sum(bool(r[1]) for r in one) == 393
+    assert one[0][1] == [(1, 11)] and one[-3][1] == [(0, 400)]
