@@ -109,12 +109,24 @@ def rules() -> Iterator[tuple[str, str, str, int, float]]:
 
 
 PRIORITIES = 9
+#: Detections of a text are swept in blocks of this many, so that no array grows by one element at a time.
+SWEPT = 256
 
 
 def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body, in which name stands for value, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _sums(array: str) -> str:
+    """Running sums of an array that isn't empty, by doubling: work grows as n log n."""
+    return f"aggregate(sequence(0, int(log2(size({array})))), {array}, (a, k) -> transform(a, (x, i) -> x + IF(i >= shiftleft(1, k), a[i - shiftleft(1, k)], 0)))"
+
+
 def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with words (long), base (array of struct(label, start, end)) and found (array of struct(start, end,
     priority, label, confidence), what is left of the rules' detections) added; columns of these names are replaced."""
@@ -123,7 +135,7 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     table = list(rules())
     keywords = sorted({r[1] for r in table})
     number = {k: i for i, k in enumerate(keywords)}
-    as_json = json.dumps([{"k": number[k], "x": f" (?:{x})(?= )", "p": p, "l": label, "c": c} for label, k, x, p, c in table])
+    as_json = json.dumps([{"k": number[k], "x": f" (?:{x})(?= )", "p": p, "l": label, "n": n, "c": c} for n, (label, k, x, p, c) in enumerate(table)])
     # the gate, on the longest words of keywords: every match of a rule holds its keyword as whole words
     joined = F.trim(F.regexp_replace(F.col(text), WORD_PATTERN.replace("[^", "["), " "))
     asked = sorted({max(k.split(" "), key=len) for k in [*keywords, *(phrase for phrase, _ in PHRASES)]})
@@ -142,23 +154,25 @@ def scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         places.append(f"""CASE WHEN contains(_j, ' {phrase} ') THEN transform(filter(sequence(0, size(_w) - {len(own)}), i -> {stand}),
             i -> named_struct('label', '{label}', 'start', bigint(i), 'end', bigint(i + {len(own)}))) ELSE array() END""")
     # the keywords that occur, the rules they open, and each rule's matches with their places in words
-    rule_type = "array<struct<k:int,x:string,p:int,l:string,c:double>>"
+    rule_type = "array<struct<k:int,x:string,p:int,l:string,n:int,c:double>>"
     out = out.withColumn(base, F.expr(f"CASE WHEN _j IS NULL THEN array() ELSE concat({', '.join(places)}) END"))
     out = out.withColumn("_hit", F.expr(f"CASE WHEN _j IS NOT NULL THEN transform(from_json('{json.dumps(keywords)}', 'array<string>'), k -> contains(_j, concat(' ', k, ' '))) END"))
     open_rules = F.expr("filter(_rules, r -> _hit[r.k])")
     out = out.withColumn("_rules", F.from_json(F.lit(as_json), rule_type)).withColumn("_open", F.when(F.col("_hit").isNotNull(), open_rules)).drop("_rules", "_hit")
-    detections = f"""flatten(transform(_open, r -> aggregate(
-        zip_with(regexp_extract_all(_j, r.x, 0), slice(split(_j, r.x, -1), 1, size(regexp_extract_all(_j, r.x, 0))), (m, s) -> named_struct('m', m, 's', s)),
-        named_struct('at', 0, 'all', CAST(array() AS array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>)),
-        (a, x) -> named_struct('at', a.at + {_spaces('x.s')} + {_spaces('x.m')},
-          'all', concat(a.all, array(named_struct('start', bigint(a.at + {_spaces('x.s')}), 'end', bigint(a.at + {_spaces('x.s')} + {_spaces('x.m')}), 'priority', r.p, 'label', r.l, 'confidence', r.c)))),
-        a -> a.all)))"""
-    out = out.withColumn("_found", F.expr(f"CASE WHEN size(_open) > 0 THEN {detections} END"))
-    # containers come first in this order; ends[p] is the furthest end so far of priority p or more
-    order = "(a, b) -> CASE WHEN a.start <> b.start THEN sign(a.start - b.start) WHEN a.end <> b.end THEN sign(b.end - a.end) WHEN a.priority <> b.priority THEN b.priority - a.priority WHEN a.label <> b.label THEN IF(a.label < b.label, -1, 1) ELSE 0 END"
-    sweep = f"""aggregate(array_sort(_found, {order.replace('sign(', 'int(sign(').replace('end)', 'end))').replace('start)', 'start))')}),
-        named_struct('ends', array_repeat(bigint(0), {PRIORITIES + 1}), 'kept', CAST(array() AS array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>)),
-        (a, d) -> IF(a.ends[d.priority] >= d.end, a, named_struct('ends', transform(a.ends, (e, i) -> IF(i <= d.priority, greatest(e, d.end), e)), 'kept', concat(a.kept, array(d)))),
-        a -> a.kept)"""
-    out = out.withColumn(found, F.expr(f"CASE WHEN size(_found) > 0 THEN {sweep} ELSE CAST(array() AS array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>) END"))
+    # a rule's matches are set between marks, which no text holds here, in one scan: words up to the marks say where they are.
+    # The order of fields is the order of the sweep: containers come first
+    raw = "array<struct<start:bigint,back:bigint,low:int,label:string,rule:int,confidence:double>>"
+    pieces = "split(regexp_replace(_j, r.x, '\\u0001$0\\u0001'), '\\u0001', -1)"
+    lengths = f"transform(slice(p, 1, size(p) - 1), x -> {_spaces('x')})"
+    matches = "transform(sequence(0, int(size(c) div 2) - 1), j -> named_struct('start', bigint(c[2 * j]), 'back', -bigint(c[2 * j + 1]), 'low', -r.p, 'label', r.l, 'rule', r.n, 'confidence', r.c))"
+    detections = _let(pieces, "p", f"IF(size(p) < 2, CAST(array() AS {raw}), {_let(lengths, 'l', _let(_sums('l'), 'c', matches))})")
+    out = out.withColumn("_found", F.expr(f"CASE WHEN size(_open) > 0 THEN array_sort(flatten(transform(_open, r -> {detections}))) END"))
+    # ends[p] is the furthest end so far of priority p or more
+    blocks = f"transform(sequence(0, int((size(_found) - 1) div {SWEPT})), b -> slice(_found, b * {SWEPT} + 1, {SWEPT}))"
+    block = f"""aggregate(d, named_struct('ends', w.ends, 'kept', CAST(array() AS {raw})),
+        (a, x) -> IF(a.ends[-x.low] >= -x.back, a, named_struct('ends', transform(a.ends, (e, i) -> IF(i <= -x.low, greatest(e, -x.back), e)), 'kept', concat(a.kept, array(x)))),
+        a -> named_struct('ends', a.ends, 'kept', concat(w.kept, array(a.kept))))"""
+    kept = f"aggregate({blocks}, named_struct('ends', array_repeat(bigint(0), {PRIORITIES + 1}), 'kept', CAST(array() AS array<{raw}>)), (w, d) -> {block}, w -> flatten(w.kept))"
+    final = "x -> named_struct('start', x.start, 'end', -x.back, 'priority', -x.low, 'label', x.label, 'confidence', x.confidence)"
+    out = out.withColumn(found, F.expr(f"CASE WHEN size(_found) > 0 THEN transform({kept}, {final}) ELSE CAST(array() AS array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>) END"))
     return out.drop("_w", "_j", "_open", "_found")

@@ -5,6 +5,7 @@ import math
 import pickle
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -260,3 +261,25 @@ def test_decontamination_by_an_item_larger_than_a_set(spark):
     one = plain(decontam.scan(docs, items))
     assert one == plain(decontam.scan(docs, items, set_bytes=700)) and sum(bool(r[1]) for r in one) == 393
     assert one[0][1] == [(1, 11)] and one[-3][1] == [(0, 400)]
+
+
+def test_license_detections_of_a_long_text_take_time_in_proportion(spark):
+    def seconds(n):
+        text = F.repeat(F.lit("licensed under the gnu gpl v3 license or later and so on "), n).alias("text")
+        start = time.perf_counter()
+        found = licenses.scan(spark.range(1).select(text)).select("found", "words").first()
+        assert found.words == 12 * n and [(x.start, x.end) for x in found.found] == [(12 * k + found.found[0].start, 12 * k + found.found[0].end) for k in range(n)]
+        return time.perf_counter() - start
+
+    seconds(100)
+    half = min(seconds(10_000), seconds(10_000))
+    assert min(seconds(20_000), seconds(20_000)) <= 2.5 * half
+
+
+def test_license_sweep_over_several_blocks(spark, monkeypatch):
+    r = random.Random(9)
+    pieces = ["licensed under the GNU GPL v3 or later", "MIT License", "apache license version 2.0", "cc by nc sa 4.0", "spdx license identifier apache 2 0", "zlib", "released under the mit license"]
+    docs = spark.createDataFrame([(i, " ".join(r.choice([*pieces, prose(2, i + k)]) for k in range(40))) for i in range(12)], "doc_id long, text string")
+    one = sorted(map(str, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "SWEPT", 3)
+    assert sorted(map(str, licenses.scan(docs).collect())) == one
