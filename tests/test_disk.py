@@ -40,3 +40,13 @@ def test_revisions_are_joined_where_they_lie(spark):
 def test_shuffle_files_go_with_the_table(spark):
     t = tables.store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert t.count() == 7 and spark.conf.get(tables.CLEANUP) == "false"
+
+
+def test_a_task_writes_many_groups(spark, tmp_path):
+    from targetry.sources import graphs
+
+    t = spark.range(4000).select(F.concat(F.lit("//p"), F.col("id") % 997, F.lit(":t"), "id").alias("name"), F.md5(F.col("id").cast("string")).alias("hash"))
+    one = graphs.put(t, f"file://{tmp_path}", "one", like=graphs.Graph(spark, "", graphs.Layout(64), t.schema))
+    files = [f for d, _, names in os.walk(one.path.removeprefix("file://") + "/rows") for f in names if f.endswith(".parquet")]
+    assert len(files) == 64 and len({f.split("-")[1] for f in files}) <= 8  # the tasks that wrote them
+    assert one.rows().count() == 4000 and one.find(["//p5:t5"]).first().hash and one.rows().columns == ["name", "hash"]
